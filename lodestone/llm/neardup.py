@@ -5,7 +5,7 @@ m * m tables are the pairs (u_i, v_j), so that 2 * m * t minhashes serve m * m t
 likeness s meet in no table with probability of at most 2 * (1 - s**t)**m: 2e-5 at 0.85 with the defaults, less above.
 
 A sub-key that one set alone has can't be part of a shared key; such sub-keys go before pairs are formed. Sets that meet
-in a table are joined to the table entry's smallest id (a star, not all pairs); the connected components of these
+in a table are joined to the table entry's smallest id (a star, not all pairs), first in m tables, then, cluster by cluster, in all; the connected components of these
 stars, the candidate clusters, are where links can be. A cluster is dealt into blocks and each pair of blocks compared
 in one task by counting shared shingles, which yields a spanning forest of the true links. Components of the links are the
 result. Work within a cluster of n different sets goes by blocks of at most 256, so no task grows with n.
@@ -63,16 +63,32 @@ def sketches(docs: DataFrame, m: int = 12, t: int = 3, width: int = 5) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>")
 
 
-def candidate_stars(reps: DataFrame, m: int) -> DataFrame:
-    """(a, b): sets that meet in a table, each with the smallest id of its table entry."""
+def _stars(met: DataFrame) -> DataFrame:
+    """(a, b): of (entry, id), ids that share an entry, each with the entry's smallest id."""
+    centre = met.groupBy("entry").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("entry", "a")
+    return met.join(centre, "entry").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def candidate_clusters(reps: DataFrame, m: int) -> DataFrame:
+    """(id, cluster): sets that meet in a table, directly or by way of others, share a cluster; sets that meet none have no row.
+
+    First only the tables (u_i, v_i) are joined, m stars for a set at most. In all m * m tables sets of one such cluster then count once for an
+    entry, so that a large group of near copies is a few rows there, not a row for each set and table.
+    """
     sub = reps.select("id", F.posexplode("keys").alias("k", "key"))
     shared = sub.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1").select("k", "key")
-    left = sub.join(shared, ["k", "key"]).groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias("own"))
+    own = cut(sub.join(shared, ["k", "key"]).groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias("own")))
     u, v = F.filter("own", lambda x: x["k"] < m), F.filter("own", lambda x: x["k"] >= m)
-    tables = F.flatten(F.transform(u, lambda x: F.transform(v, lambda y: F.xxhash64(x["k"], x["key"], y["k"], y["key"]))))
-    met = cut(left.select("id", F.explode(tables).alias("entry")))
-    centre = met.groupBy("entry").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("entry", "a")
-    return met.join(centre, "entry").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pair = lambda x, y: F.xxhash64(x["k"], x["key"], y["k"], y["key"])
+    straight = F.flatten(F.transform(u, lambda x: F.transform(F.filter(v, lambda y: y["k"] == x["k"] + m), lambda y: pair(x, y))))
+    first = components(_stars(own.select("id", F.explode(straight).alias("entry"))))
+    named = cut(own.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("name"), "own"))
+    every = F.flatten(F.transform(u, lambda x: F.transform(v, lambda y: pair(x, y))))
+    met = cut(named.select(F.col("name").alias("id"), F.explode(every).alias("entry")).distinct())
+    second = components(_stars(met)).select(F.col("id").alias("name"), "component")
+    found = named.join(second, "name", "left").select("id", F.coalesce("component", "name").alias("cluster"))
+    several = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    return cut(found.join(several, "cluster").select("id", "cluster"))
 
 
 def _links(own: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +142,8 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 def confirmed_links(docs: DataFrame, members: DataFrame, percent: int, width: int, block: int = 256) -> DataFrame:
     """(a, b): a spanning forest of the links within each cluster. members: (id, cluster)."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    #: small clusters are one block; large ones have about 40, until blocks are full
-    sizes = sizes.select("cluster", F.when(F.col("n") <= 64, 1).otherwise(F.ceil(F.col("n") / F.least(F.lit(block), F.greatest(F.lit(32), F.ceil(F.col("n") / 40))))).cast("int").alias("blocks"))
+    #: small clusters are one block; large ones have about 32, until blocks are full
+    sizes = sizes.select("cluster", F.when(F.col("n") <= 64, 1).otherwise(F.ceil(F.col("n") / F.least(F.lit(block), F.greatest(F.lit(32), F.ceil(F.col("n") / 32))))).cast("int").alias("blocks"))
     members = cut(members.join(sizes, "cluster"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(sized(members, members.count()), "id")
 
@@ -168,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, m: int =
     got = cut(sketches(docs, m, t, width))
     classes = got.where("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("id"))
     reps = got.join(classes.select("id", "sig1", "sig2"), ["sig1", "sig2"]).where("id = doc_id").select("id", "keys").dropDuplicates(["id"])
-    clusters = components(candidate_stars(reps, m)).select("id", F.col("component").alias("cluster"))
+    clusters = candidate_clusters(reps, m)
     groups = components(confirmed_links(docs, clusters, percent, width))
     found = classes.join(groups, "id", "left").select("sig1", "sig2", F.coalesce("component", "id").alias("component_id"))
     out = got.drop("keys").join(found, ["sig1", "sig2"], "left")
