@@ -15,6 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; those without letters, and those that fit no language better than chance, go."""
+    docs = docs.select(*COLUMNS)
     model = languages.fit(docs, F.lit(True))
     least = 0.4 if len(model.names) > 1 else 0.0
     return languages.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
@@ -22,16 +23,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each near-duplicate group."""
-    return neardup.drop_near_duplicates(docs).select(*COLUMNS)
+    return neardup.drop_near_duplicates(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return decontamination.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: repeated rows where a source is taken more than once, none where it isn't taken."""
+    docs = docs.select(*COLUMNS)
     times = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "times").groupBy("_id").agg(F.max("times").alias("times"))
     taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).where("times > 0")
     return taken.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)

@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each block of text, with an empty line wh
 containers that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments), by element or by class, id or role, have length 0, and so has anchor text outside an article. Lengths are summed over windows of lines; a surge
 is where a window's sum rises from nothing above a threshold and holds, a dive is where it falls to nothing. The text
-between surges and dives is kept: all of an article element if the page has one, else all regions whose sums come near the
-page's largest.
+between surges and dives is kept: of the largest article element, outside which nothing counts, all of it; in a page without one, the regions
+whose sums come near the page's largest.
 """
 
 from __future__ import annotations
@@ -138,10 +138,9 @@ def main_text(page: str | None, window: int = 3, near: float = 0.25) -> str:
     for _, free, never, number in lines:
         if number and not never:
             sizes[number] = sizes.get(number, 0) + free
-    if sizes:  # the largest article alone, with all that is its own
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        return "\n".join(t for t, _, never, number in lines if number == best and not never and t)
-    own = [0 if never else free for _, free, never, _ in lines]
+    best = max(sizes, key=lambda k: (sizes[k], -k)) if sizes else 0
+    # an article's lines count whole, lines outside it not at all; without one, anchor text doesn't count
+    own = [0 if never or number != best else len(text) if best else free for text, free, never, number in lines]
     sums = [sum(own[i : i + window]) for i in range(len(own))]
     regions, i = [], 0
     while i < len(own):
@@ -153,8 +152,8 @@ def main_text(page: str | None, window: int = 3, near: float = 0.25) -> str:
             j += 1
         regions.append((max(sums[i:j]), i, j))
         i = j
-    most = max((r[0] for r in regions), default=0)
-    return "\n".join(lines[k][0] for top, i, j in regions if top >= near * most for k in range(i, j) if lines[k][0] and not lines[k][2])
+    least = 0 if best else near * max((r[0] for r in regions), default=0)
+    return "\n".join(lines[k][0] for top, i, j in regions if top >= least for k in range(i, j) if lines[k][0] and not lines[k][2] and lines[k][3] == best)
 
 
 def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:

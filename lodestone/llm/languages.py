@@ -23,7 +23,7 @@ from lodestone.llm.shared import schema_with
 
 FEATURES = 4096
 #: Labelled rows that the classifiers are fitted on, shared equally among the languages.
-SAMPLE = 2_400
+SAMPLE = 1_200
 _FOLD = np.array([b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint32)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut
+from lodestone.llm.shared import cut, sized
 
 #: Documents fixed: the weights that sources get in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -60,11 +60,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most, weights, share)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims = cut(aims.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    n = aims.count()  # sources; thresholds have as many rows at most
     # the boundary so far: the bits fixed, and the budget that is left within them
     edge = aims.where("rest > 0 and source_size > 0").select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_prefix"), F.col("rest").alias("_left"))
     for level in range(1, LEVELS + 1):
         below = BITS * (LEVELS - level)
-        inside = rows.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_hash", below + BITS) == F.col("_prefix"))) if level > 1 else rows.join(edge, F.col("source").eqNullSafe(F.col("_s")))
+        inside = rows.join(sized(edge, n), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_hash", below + BITS) == F.col("_prefix"))) if level > 1 else rows.join(sized(edge, n), F.col("source").eqNullSafe(F.col("_s")))
         sums = inside.groupBy("_s", "_left", F.shiftright("_hash", below).alias("_prefix")).agg(F.sum("size").alias("_n"))
         running = Window.partitionBy("_s").orderBy("_prefix")
         sums = sums.withColumn("_upto", F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.col("_upto") - F.col("_n"))
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             hit = sums.where("_upto > _left and _before <= _left")
             edge = cut(hit.select("_s", F.when(2 * F.col("_before") + F.col("_n") <= 2 * F.col("_left"), F.col("_prefix") + 1).otherwise(F.col("_prefix")).alias("_threshold")))
     aims = aims.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "passes", F.coalesce("_threshold", F.lit(0).cast("long")).alias("_threshold"))
-    out = rows.join(aims, F.col("source").eqNullSafe(F.col("_s")))
+    out = rows.join(sized(aims, n), F.col("source").eqNullSafe(F.col("_s")))
     return out.select(key, "source", "size", "source_size", "target", (F.col("passes") + (F.col("_hash") < F.col("_threshold")).cast("long")).alias("times"))
 
 

@@ -148,10 +148,17 @@ def confirmed_links(docs: DataFrame, members: DataFrame, percent: int, width: in
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(sized(members, members.count()), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()  # a task passes repeated rows on once
         for batch in batches:
             for i, s, first in _sets(batch.column("text"), width):
                 n = len(first) - 1
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in ("id", "cluster", "blocks")), pa.array([s[first[k] : first[k + 1]].tobytes() for k in range(n)], pa.binary())], ["id", "cluster", "blocks", "shingles"])
+                part = pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in ("id", "cluster", "blocks")), pa.array([s[first[k] : first[k + 1]].tobytes() for k in range(n)], pa.binary())], ["id", "cluster", "blocks", "shingles"])
+                new = []
+                for own, raw in zip(part.column("id").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+                    mark = (own, hashlib.blake2b(raw, digest_size=16).digest())
+                    new.append(mark not in seen)
+                    seen.add(mark)
+                yield part.filter(pa.array(new))
 
     rows = texts.select("id", "cluster", "blocks", "text").mapInArrow(sets, "id long, cluster long, blocks int, shingles binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))

@@ -32,7 +32,6 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
     start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    first = np.searchsorted(start, offsets, side="left")
     # a text that ends in a line break begins a line where the next text does: lines there belong to texts by their order
     at_text = np.searchsorted(breaks + 1, offsets[:-1], side="right") + np.arange(n)
     first = np.append(at_text, len(start))

@@ -68,16 +68,20 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def range_buckets(df: DataFrame, key: str, rows_each: int = 5_000, least: int = 1) -> tuple[Callable[[Column], Column], int]:
+def range_buckets(df: DataFrame, key: str, rows_each: int = 2_000, least: int = 1, most: int = 4_096) -> tuple[Callable[[Column], Column], int]:
     """An expression that numbers ranges of `key` (a long) holding about `rows_each` rows each, ascending, nulls first; and their number.
 
+    There are `most` ranges at most, which then hold more rows each.
+
     Only the key column is read. The bounds are approximate quantiles; any bounds give right results, these give even ones.
     """
     rows = df.where(F.col(key).isNotNull()).count()
-    n = max(least, -(-rows // rows_each))
+    n = min(max(least, -(-rows // rows_each)), most)
     if n <= 1:
         return lambda c: F.lit(0), 1
     bounds = sorted(set(df.select(F.col(key).cast("long").alias(key)).approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n)))
+    if not bounds:
+        return lambda c: F.lit(0), 1
     levels = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
 
     def bucket(c: Column) -> Column:
