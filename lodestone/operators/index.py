@@ -13,6 +13,14 @@ from lodestone.functions.markdown import parse_notes
 BOOSTS = {"title": 8.0, "tags": 7.0, "aliases": 6.0, "headings": 4.0, "path": 2.0, "body": 1.0}
 TOKEN = r"[\p{L}\p{N}]+"
 VERSION = 1
+#: Of the stored tables, so that empty ones can be read.
+SCHEMAS = {
+    "docs": "path string, title string, aliases array<string>, tags array<string>, headings array<string>, body string, content string",
+    "postings": "path string, token string, tf long, len long, field string",
+    "stats": "field string, n long, avg_len double",
+    "manifest": "path string, mtime_ms double, size long",
+    "meta": "version int, built_at timestamp, documents long",
+}
 
 
 def field_texts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -76,19 +84,19 @@ class Index:
 
     def _write(self, docs: DataFrame, files: DataFrame) -> None:
         docs.write.mode("overwrite").parquet(f"{self.where}/docs")
-        own = self.spark.read.parquet(f"{self.where}/docs")
+        own = self.table("docs")
         postings(own).write.mode("overwrite").partitionBy("field").parquet(f"{self.where}/postings")
         field_stats(own).write.mode("overwrite").parquet(f"{self.where}/stats")
         files.write.mode("overwrite").parquet(f"{self.where}/manifest")
         self.spark.range(1).select(F.lit(VERSION).alias("version"), F.current_timestamp().alias("built_at"), F.lit(own.count()).alias("documents")).write.mode("overwrite").parquet(f"{self.where}/meta")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.where}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.where}/{name}")
 
     def ready(self) -> bool:
         """Whether a whole build of this version is there; it may be stale."""
         try:
-            return self.table("meta").where(F.col("version") == VERSION).count() == 1 and len(self.table("postings").columns) == 5
+            return self.table("meta").where(F.col("version") == VERSION).count() == 1 and self.table("stats").limit(1).count() >= 0 and self.table("postings").limit(1).count() >= 0 and self.table("docs").limit(1).count() >= 0
         except Exception:  # noqa: BLE001  whatever keeps it from being read
             return False
 
@@ -109,7 +117,7 @@ class Index:
             fresh = parse_notes(wanted).drop("content").join(wanted.select("path", "content"), "path")
             merged = merge(self.table("docs"), changes, fresh)
             merged.write.mode("overwrite").parquet(f"{self.where}/next")
-            self._write(self.spark.read.parquet(f"{self.where}/next"), manifest(files))
+            self._write(self.spark.read.schema(SCHEMAS["docs"]).parquet(f"{self.where}/next"), manifest(files))
             changes.unpersist()
             return "merged"
         except Exception:  # noqa: BLE001  any failure means building anew
