@@ -89,6 +89,6 @@ def range_buckets(df: DataFrame, key: str, rows_each: int = 2_000, least: int =
         found = inside[-1] + F.lit(64 * (len(levels) - 1))
         for i in reversed(range(len(levels) - 1)):
             found = F.when(c < F.lit(int(levels[i + 1][0])), inside[i] + F.lit(64 * i)).otherwise(found)
-        return F.coalesce(found, F.lit(0)).cast("int")
+        return F.when(c.isNull(), F.lit(0)).otherwise(found).cast("int")
 
     return bucket, len(bounds) + 1
