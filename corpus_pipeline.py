@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; those without letters, and those that fit no language better than chance, go."""
     docs = docs.select(*COLUMNS)
     model = languages.fit(docs, F.lit(True))
-    least = 0.4 if len(model.names) > 1 else 0.0
+    least = 1.1 / len(model.names) if len(model.names) > 1 else 0.0
     return languages.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
 
 

@@ -1,8 +1,9 @@
 """Operator 8: document quality by a linear-chain conditional random field over lines.
 
 Each line has features of its own and those of the lines before and after it. The field labels every line good or bad;
-forward-backward gives each line's marginal of good, and a document's score is their mean, weighted by the lines' lengths. It is
-fitted by gradient ascent on the likelihood of whole documents whose lines all have the document's label.
+forward-backward gives each line's marginal of good, and a document's quality is their mean, weighted by the lines' lengths. It is
+fitted by gradient ascent on the likelihood of whole documents whose lines all have the document's label. The score is the
+probability of label 1 given that quality, by a logistic curve fitted on the same documents at the labels' true shares.
 """
 
 from __future__ import annotations
@@ -74,6 +75,31 @@ class Field:
     def __init__(self, unary: np.ndarray | None = None, step: np.ndarray | None = None):
         self.unary = np.zeros(3 * WIDTH) if unary is None else unary
         self.step = np.zeros((2, 2)) if step is None else step
+        #: slope and offset of the curve from a quality's log-odds to a score's
+        self.curve = (1.0, 0.0)
+
+    def quality(self, x: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The mean of each text's marginals; a line weighs one more than its length, so that empty texts have one too."""
+        p, _ = self.marginals(x, first)
+        return np.add.reduceat(p * (length + 1), first[:-1]) / np.add.reduceat(length + 1, first[:-1])
+
+    def score(self, quality: np.ndarray) -> np.ndarray:
+        q = np.clip(quality, 1e-6, 1 - 1e-6)
+        return 1 / (1 + np.exp(-(self.curve[0] * np.log(q / (1 - q)) + self.curve[1])))
+
+    def calibrate(self, quality: np.ndarray, labels: np.ndarray, share: float) -> Field:
+        """share: that of label 1 among all labelled rows. Newton's method with a weak pull to the curve that changes nothing."""
+        q = np.clip(quality, 1e-6, 1 - 1e-6)
+        design = np.column_stack([np.log(q / (1 - q)), np.ones(len(q))])
+        weight = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
+        theta, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+            slope = design.T @ (weight * (labels - p)) - (theta - start)
+            bend = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2)
+            theta = theta + np.linalg.solve(bend, slope)
+        self.curve = (float(max(theta[0], 0.05)), float(theta[1]))
+        return self
 
     def marginals(self, x: np.ndarray, first: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The probability of good of each line; with pairs, the expected transitions of all texts too. All texts take each step together."""
@@ -135,13 +161,12 @@ class Field:
 
 
 def score_texts(column: pa.Array, field: Field) -> np.ndarray:
-    """A score from 0 to 1 for each text: the length-weighted mean of its lines' marginals (each line weighs one more than its length, so empty texts have one too)."""
+    """A score from 0 to 1 for each text."""
     data, offsets = hashing.flat(column)
     out = np.zeros(len(column))
     for i, j in hashing.ranges(offsets, 1 << 20):
         x, length, first = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        p, _ = field.marginals(with_neighbours(x, first), first)
-        out[i:j] = np.add.reduceat(p * (length + 1), first[:-1]) / np.add.reduceat(length + 1, first[:-1])
+        out[i:j] = field.score(field.quality(with_neighbours(x, first), length, first))
     return np.clip(out, 0, 1)
 
 
@@ -168,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: object, label: str = "quality
     own = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(float) for r in got]
     first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
     x = np.concatenate(own)
-    return Field().fit(with_neighbours(x, first), first, np.array([r["label"] for r in got]))
+    y, wide = np.array([r["label"] for r in got]), with_neighbours(x, first)
+    own = Field().fit(wide, first, y)
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    return own.calibrate(own.quality(wide, np.expm1(8 * x[:, 0]), first), y, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", name: str = "score") -> DataFrame:
