@@ -17,9 +17,9 @@ def all_lines(text: Column) -> Column:
     return F.split(text, "\r?\n", -1)
 
 
-def _closer(lines: Column) -> Column:
+def closing_line(lines: Column) -> Column:
     """The number of the line, after the first, that closes a block opened on the first; 0 if none."""
-    return F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: trim(x).isin("---", "...")), True).cast("int") + F.lit(0)
+    return F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: trim(x).isin("---", "...")), True).cast("int")
 
 
 def frontmatter_split(content: Column) -> tuple[Column, Column]:
@@ -29,7 +29,7 @@ def frontmatter_split(content: Column) -> tuple[Column, Column]:
     The body after a block has LF line ends; without a block it is the whole content.
     """
     lines = all_lines(content)
-    closer = F.when(content.startswith("---\n") | content.startswith("---\r\n"), _closer(lines)).otherwise(F.lit(0))
+    closer = F.when(content.startswith("---\n") | content.startswith("---\r\n"), closing_line(lines)).otherwise(F.lit(0))
     yaml = F.when(closer > 0, F.array_join(F.slice(lines, 2, F.greatest(closer - 1, F.lit(0))), "\n"))
     body = F.when(closer > 0, F.array_join(F.slice(lines, closer + 2, F.size(lines)), "\n")).otherwise(content)
     return yaml, body

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.errors import UsageError, positive
-from lodestone.functions.markdown import file_title  # noqa: F401
+from lodestone.functions.markdown import closing_line
 from lodestone.functions.text import folders, identity, identity_of, lines_of, stem, trim, walk_key, within
 from lodestone.operators.index import BOOSTS, field_stats, postings
 
@@ -144,7 +144,7 @@ def snippets(content: Column | str, terms: list[str]) -> Column:
 
     def pick(d: Column) -> Column:
         lines = d["lines"]
-        closer = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: trim(x).isin("---", "...")), True).cast("int")
+        closer = closing_line(lines)
         start = F.when((F.size(lines) > 0) & (trim(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))) == "---") & (closer > 0), closer + 1).otherwise(0)
         body = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda s: s["line"] > start)
         holds = lambda s: F.exists(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.lower(s["text"]).contains(t))

@@ -47,6 +47,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_notes(note_files(spark, sf_dir))
 
 
+def docs_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed notes that a query reads several times, parsed once."""
+    return docs(spark, sf_dir).persist()
+
+
 def joined(c: Column | str) -> Column:
     return F.array_join(c, "\n")
 
@@ -99,14 +104,15 @@ def tag_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = index.postings(docs(spark, sf_dir))
+    own = docs_kept(spark, sf_dir)
+    post = index.postings(own)
     each = post.groupBy("field").agg(F.count("*").alias("entries"), F.sum("tf").alias("tokens"), F.countDistinct("token").alias("different"))
-    return each.join(index.field_stats(docs(spark, sf_dir)), "field").select("field", "entries", "tokens", "different", "n", F.round("avg_len", 6).alias("avg_len"))
+    return each.join(index.field_stats(own), "field").select("field", "entries", "tokens", "different", "n", F.round("avg_len", 6).alias("avg_len"))
 
 
 def _bm25(fields: tuple[str, ...], limit: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = docs(spark, sf_dir)
+        own = docs_kept(spark, sf_dir)
         scored = bm25(index.postings(own, list(fields)), index.field_stats(own, list(fields)), checked(SEARCH).tokens, fields)
         return scored.orderBy(F.desc("score"), "path").limit(limit)
 
@@ -126,7 +132,7 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(**how: object) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search(docs(spark, sf_dir), SEARCH, explain=True, **how)
+        found = search(docs_kept(spark, sf_dir), SEARCH, explain=True, **how)
         whole = [F.col(c).cast("long").alias(c) for c in ("position", "bucket", "base_rank")]
         return found.select("path", "title", *whole, joined("tags").alias("tags"), numbered_lines("snippets").alias("snippets"), "score", F.round("rrf", 6).alias("rrf"))
 
