@@ -12,6 +12,7 @@ from lodestone.functions.markdown import headings, inline_tags, parse_notes
 from lodestone.operators import edit, frontmatter, index
 from lodestone.operators.grep import grep
 from lodestone.operators.read import read
+from lodestone.operators.render import render_changes, render_grep, render_read, render_search
 from lodestone.operators.search import bm25, checked, features, has_tags, search
 from lodestone.sources.notes import PATH, notes
 from lodestone.sources.patches import apply_patch
@@ -81,8 +82,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS STRING) || '/' || CAST(turn AS STRING) AS path", "text AS content")
 
 
-def _docs(*columns: Column) -> Query:
-    return lambda spark, sf_dir: docs(spark, sf_dir).select("path", *columns)
+def _docs(column: Callable[[], Column]) -> Query:
+    return lambda spark, sf_dir: docs(spark, sf_dir).select("path", column())
 
 
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +190,22 @@ def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_patch(files, PATCH.replace("src0/{lang}/doc_0000000000.md", first["path"] if first else "none.md"))
 
 
+def rendered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_read(read(texts(spark, sf_dir), head=3))
+
+
+def rendered_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_grep(grep(texts(spark, sf_dir), "license", context=1, limit=None)).select("path", F.col("line").cast("long").alias("line"), "rendered")
+
+
+def rendered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_search(search(docs_kept(spark, sf_dir), SEARCH, explain=True), "json")
+
+
+def rendered_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_changes(edit.replace_line(texts(spark, sf_dir), 2, "new second line"), "text", dry=False)
+
+
 def line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each note splits into lines and joins again."""
     lines = T.lines_of("content")
@@ -212,13 +229,17 @@ QUERIES: dict[str, Query] = {
     "read_around": _read(around="the", context=1),
     "read_capped": _read(max_chars=200),
     "line_numbered": _read(),
+    "render_read": rendered_read,
+    "render_grep": rendered_grep,
+    "render_search": rendered_search,
+    "render_changes": rendered_changes,
     "line_shapes": line_shapes,
     "identities": identities,
-    "note_titles": _docs(F.col("title")),
-    "note_headings": _docs(joined("headings").alias("headings")),
-    "note_tags": _docs(joined("tags").alias("tags")),
-    "note_aliases": _docs(joined("aliases").alias("aliases")),
-    "note_bodies": _docs(F.md5(F.col("body").cast("binary")).alias("body_md5")),
+    "note_titles": _docs(lambda: F.col("title")),
+    "note_headings": _docs(lambda: joined("headings").alias("headings")),
+    "note_tags": _docs(lambda: joined("tags").alias("tags")),
+    "note_aliases": _docs(lambda: joined("aliases").alias("aliases")),
+    "note_bodies": _docs(lambda: F.md5(F.col("body").cast("binary")).alias("body_md5")),
     "heading_levels": heading_levels,
     "inline_tags": tag_counts,
     "tag_filter_all": tag_filter_all,

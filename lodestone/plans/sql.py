@@ -185,6 +185,10 @@ SQL: dict[str, str] = {
     "read_around": read("greatest(1, hit - 1)", "least(total, hit + 1)", "hit > 0", extra=", coalesce(list_position(list_transform(a, lambda x: contains(x, 'the')), true), 0) AS hit"),
     "read_capped": read("1", "total", cap=200),
     "line_numbered": read("1", "total"),
+    "render_read": f"SELECT path, 'path: ' || path || chr(10) || 'lines: ' || first_line || '-' || last_line || '/' || total || chr(10) || 'truncated: ' || truncated || chr(10) || chr(10) || numbered_text || chr(10) AS rendered FROM ({read('1', 'least(3, total)')})",
+    "render_grep": f"""WITH {FILES}, l AS (SELECT path, {cells(lines('content'))} AS c FROM files), m AS (SELECT path, c, unnest(range(1, len(c) + 1)) AS i FROM l)
+SELECT path, i AS line, array_to_string(list_transform(c[greatest(i - 1, 1):i + 1], lambda s: path || ':' || s.line || CASE WHEN s.line < i THEN '-' WHEN s.line = i THEN ':' ELSE '+' END || ' | ' || s.text), chr(10)) AS rendered FROM m WHERE contains(lower(c[i].text), 'license')""",
+    "render_changes": f"SELECT path, CASE WHEN error IS NULL THEN code || ' ' || path ELSE 'error: ' || error END AS rendered FROM ({edit(rejoined(f'list_transform({L}, lambda x, i: CASE WHEN i = 2 THEN {chr(39)}new second line{chr(39)} ELSE x END)'), f'CASE WHEN len({L}) < 2 THEN {chr(39)}line 2 is beyond end of file ({chr(39)} || CAST(len({L}) AS VARCHAR) || {chr(39)}){chr(39)} END')})",
     "line_shapes": f"WITH {NOTES} SELECT path, len({L}) AS n_lines, contains(content, chr(13) || chr(10)) AS crlf, ends_with(content, chr(10)) AS final_newline, md5({rejoined(L)}) AS joined_md5 FROM files",
     "identities": f"WITH {NOTES} SELECT path, {identity('path')} AS identity, {stem('path')} AS stem, array_to_string({folders('path')}, '|') AS folders FROM files",
     "note_titles": f"{_D} SELECT path, title FROM docs",
