@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,11 +26,21 @@ from pyspark.sql import types as T
 
 from lodestone.llm.shared import cut, new_dir, range_buckets, schema_with
 
-#: Different strings whose tokens a worker remembers, about 150 bytes each; beyond that it forgets all and goes on.
-REMEMBERED = 500_000
+#: Different strings whose tokens a worker remembers, about 150 bytes each, and as many that it knew before.
+REMEMBERED = 400_000
 _FAR = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 #: White space other than single spaces and line breaks between words.
-_WIDE = re.compile("[\t\x0b-\r\x85\xa0]|[ \n][ \n]")
+_WIDE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
+
+
+def _is_far(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _FAR.search(text) is not None
+    return False
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -64,18 +75,18 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Memory(dict):
-    """Remembers what `make` gives for short strings; forgets all but the seed when it is full."""
+    """Remembers what `make` gives for short strings. When it is full it begins anew, but still finds what it last knew, so that frequent strings stay."""
 
     def __init__(self, make: Callable[[str], bytes], seed: dict[str, bytes]):
-        super().__init__(seed)
-        self.make, self.seed = make, seed
+        super().__init__()
+        self.make, self.seed, self.last = make, seed, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.last.get(key) or self.seed.get(key) or self.make(key)
         if len(key) < 64:
-            if len(self) >= REMEMBERED + len(self.seed):
+            if len(self) >= REMEMBERED:
+                self.last = dict(self)
                 self.clear()
-                self.update(self.seed)
             self[key] = value
         return value
 
@@ -98,7 +109,7 @@ class Counter:
         self.special = {a["content"]: a["id"] for a in added}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.cut = pretoken_pattern()
-        self.dtype = np.uint16 if self.size <= 65536 else np.uint32
+        self.dtype, self.kind = (np.uint16, "H") if self.size <= 65536 else (np.uint32, "I")
         letters = {b: c for c, b in _byte_letters().items()}
         self.letters = str.maketrans({chr(b): letters[b] for b in range(256)})
         self.known: dict[str, bytes] = {}
@@ -107,7 +118,7 @@ class Counter:
             self.known = {s: np.array([i], self.dtype).tobytes() for s, i in self.prove().items()}
         self.pieces = Memory(self._merge, self.known)
         #: what stands between two spaces; a line break begins a chunk of its own, without a space
-        self.chunks = Memory(lambda c: self._pieces(c if c[:1] == "\n" else " " + c), {})
+        self.chunks = Memory(self._chunk, {})
 
     def prove(self) -> dict[str, int]:
         """Vocabulary strings that are one whole pre-token and that the library encodes alone as their own single token."""
@@ -127,7 +138,13 @@ class Counter:
 
     def _merge(self, piece: str) -> bytes:
         """The ids of a pre-token that isn't a whole token, by the library's merges."""
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        return array(self.kind, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _chunk(self, c: str) -> bytes:
+        if c.isalpha():  # one pre-token
+            return self.known.get(" " + c) or self._merge(" " + c)
+        own = self.cut.findall(c if c[:1] == "\n" else " " + c)
+        return b"".join([self.chunks[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in own])
 
     def _pieces(self, part: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.cut.findall(part)))
@@ -136,13 +153,13 @@ class Counter:
         """The packed ids."""
         if not text:
             return b""
-        if not self.by_piece or not text.isascii() and _FAR.search(text):
+        if not self.by_piece or _is_far(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         out = []
-        for part in self.cut_special.split(text) if self.cut_special else [text]:
+        for part in self.cut_special.split(text) if any(x in text for x in self.special) else [text]:
             if part in self.special:
                 out.append(np.array([self.special[part]], self.dtype).tobytes())
-            elif _WIDE.search(part):
+            elif any(x in part for x in _WIDE):
                 out.append(self._pieces(part))
             elif part:
                 first, *rest = part.replace("\n", " \n").split(" ")
@@ -211,7 +228,12 @@ def write_ids(docs: DataFrame, where: str, path: str | None = None, end: int = 0
                 with store.open_output_stream(f"{temp}.{kind}") as f:
                     f.write(data)
             for kind in ("ids", "off", "doc"):
-                store.move(f"{temp}.{kind}", f"{base}/{now}.{kind}")
+                try:
+                    store.move(f"{temp}.{kind}", f"{base}/{now}.{kind}")
+                except OSError:  # some stores don't replace; a file that is there has the same bytes
+                    if store.get_file_info(f"{base}/{now}.{kind}").type != fs.FileType.File:
+                        raise
+                    store.delete_file(f"{temp}.{kind}")
             done.append((now, offsets[-1], len(names)))
 
         for batch in batches:
