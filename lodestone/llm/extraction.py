@@ -3,9 +3,9 @@
 Markup is stripped into lines, one for each block of text, with an empty line where a container begins or ends. Lines of
 containers that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments), by element or by class, id or role, have length 0, and so has anchor text outside an article. Lengths are summed over windows of lines; a surge
-is where a window's sum rises from nothing above a threshold and holds, a dive is where it falls to nothing. The text
-between surges and dives is kept: of the largest article element, outside which nothing counts, all of it; in a page without one, the regions
-whose sums come near the page's largest.
+is where a window's sum rises from nothing, a dive is where it falls to nothing. The text
+between surges and dives is kept: of the largest article element, outside which nothing counts, all of it; in a page without one, every
+region, so that only lines of nothing but links, away from other text, go.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def strip(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def main_text(page: str | None, window: int = 3, near: float = 0.25) -> str:
+def main_text(page: str | None, window: int = 3) -> str:
     """The page's main text, a line for each block; '' for null, empty or text-less pages."""
     lines = strip(page or "")
     sizes: dict[int, int] = {}
@@ -150,10 +150,9 @@ def main_text(page: str | None, window: int = 3, near: float = 0.25) -> str:
         j = i  # a surge here; the dive is where a whole window has nothing
         while j < len(own) and sums[j]:
             j += 1
-        regions.append((max(sums[i:j]), i, j))
+        regions.append((i, j))
         i = j
-    least = 0 if best else near * max((r[0] for r in regions), default=0)
-    return "\n".join(lines[k][0] for top, i, j in regions if top >= least for k in range(i, j) if lines[k][0] and not lines[k][2] and lines[k][3] == best)
+    return "\n".join(lines[k][0] for i, j in regions for k in range(i, j) if lines[k][0] and not lines[k][2] and lines[k][3] == best)
 
 
 def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:

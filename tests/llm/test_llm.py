@@ -362,6 +362,13 @@ def test_op9(spark):
     assert len(got) == len(PAGES) + 1 and extraction.op9_query(pages.limit(0)).count() == 0
 
 
+def test_op9_keeps_small_regions():
+    long = "<p>" + "A long paragraph of text that says something here. " * 9 + "</p>"
+    page = f"<section><div><h2>Head</h2></div></section><section><div>{long}</div></section><section><div><p>The end.</p></div></section><div><div><ul><li><a href=x>Far</a></li></ul></div></div>"
+    got = extraction.main_text(page).split("\n")
+    assert got[0] == "Head" and got[-1] == "The end." and len(got) == 3
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
