@@ -26,9 +26,11 @@ RAW = "script style noscript template svg math iframe object canvas textarea sel
 ASIDE = "nav header footer aside form menu dialog button fieldset"
 BLOCK = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-#: Words in class, id or role that mark what isn't article text.
+#: Words of which a name in class, id or role consists that marks what isn't article text.
 OTHER = "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar side aside menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar topbar header masthead footer foot copyright comment comments comentarios kommentare discussion disqus replies reply respond share sharing social related recommended recommendations teaser widget search form contentinfo complementary"
-_RAW, _ASIDE, _BLOCK, _VOID, _OTHER = (frozenset(x.split()) for x in (RAW, ASIDE, BLOCK, VOID, OTHER))
+#: Elements that hold a page's text, whose names tell of its layout or state.
+WHOLE = "html body main article"
+_RAW, _ASIDE, _BLOCK, _VOID, _OTHER, _WHOLE = (frozenset(x.split()) for x in (RAW, ASIDE, BLOCK, VOID, OTHER, WHOLE))
 
 _PART = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -39,9 +41,12 @@ _SELF = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 
 
 def _other(attributes: str) -> bool:
+    """Whether a whole name is of such words: cookie-notice is, no-sidebar and comments-open aren't."""
     for _, a, b, c in _NAMED.findall(attributes):
-        if any(w in _OTHER for w in _WORD.findall(_CAMEL.sub(" ", a or b or c).lower())):
-            return True
+        for name in (a or b or c).split():
+            words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+            if words and _OTHER.issuperset(words):
+                return True
     return False
 
 
@@ -100,7 +105,7 @@ def strip(page: str) -> list[tuple[str, int, bool, int]]:
         if name == "br":
             parts.append(" ")
             continue
-        other = not closing and (name in _ASIDE or _other(attributes))
+        other = not closing and (name in _ASIDE or name not in _WHOLE and _other(attributes))
         if name not in _BLOCK and name not in _ASIDE and not other and not (closing and any(x[0] == name for x in stack[-6:])):
             continue
         if name in _VOID and name != "hr":

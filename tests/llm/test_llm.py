@@ -369,6 +369,15 @@ def test_op9_keeps_small_regions():
     assert got[0] == "Head" and got[-1] == "The end." and len(got) == 3
 
 
+@pytest.mark.parametrize("around", [
+    '<html class="search"><body><div>{}</div></body></html>', '<body class="with-sidebar menu">{}</body>', "<body class=comments><div>{}</div></body>", '<div id="page" class="no-sidebar">{}</div>', '<div class="hasSidebar form-ready">{}</div>',
+    '<article class="post comments-open">{}</article>', '<article class="comment">{}</article>', '<main id="content" role="main" class="search">{}</main>', "<div class='social-studies'>{}</div>",
+])
+def test_op9_layout_and_state_names(around):
+    page = around.format("<p>The page's own text.</p><div class='ad'>Buy.</div><div class='x cookie-notice'>Cookies.</div><div id=sideMenu>Menu.</div><div role=search>Find.</div>")
+    assert extraction.main_text(page) == "The page's own text."
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
