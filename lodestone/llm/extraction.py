@@ -1,11 +1,11 @@
-"""Operator 9: main text of HTML by line-block distribution.
+"""Operator 9: main text of HTML by article element, else by line-block distribution.
 
 Markup is stripped into lines, one for each block of text, with an empty line where a container begins or ends. Lines of
 containers that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments), by element or by class, id or role, have length 0, and so has anchor text outside an article. Lengths are summed over windows of lines; a surge
-is where a window's sum rises from nothing, a dive is where it falls to nothing. The text
-between surges and dives is kept: of the largest article element, outside which nothing counts, all of it; in a page without one, every
-region, so that only lines of nothing but links, away from other text, go.
+is where a window's sum rises from nothing, a dive is where it falls to nothing. In a page without
+an article element the text between surges and dives is kept, so that only lines of nothing but links, away from other text, go. In a
+page with one this method decides nothing: by a tag and class rule all lines of the largest article that aren't hidden are kept.
 """
 
 from __future__ import annotations
