@@ -14,11 +14,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language; those without letters, and those that fit no language better than chance, go."""
+    """Documents whose text is in a learned language. Those without letters go, and those that fit no language: with trigrams enough to tell, by the
+    model's floor; shorter ones, whose scores say little, only where no better than chance."""
     docs = docs.select(*COLUMNS)
     model = languages.fit(docs, F.lit(True))
     least = 1.1 / len(model.names) if len(model.names) > 1 else 0.0
-    return languages.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
+    known = languages.identify(docs, model, foreign=True)
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & ~F.col("foreign")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -442,6 +442,20 @@ def test_pipeline(spark):
     assert e.count() == d.count() == pipeline.run(spark, sf).count()
 
 
+def test_pipeline_rejects_unlearned_languages(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*pipeline.COLUMNS)
+    others = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση.",
+        " ".join("".join(np.random.default_rng(k).choice(list("bcdfghjklmnpqrstvwxz"), 4)) for k in range(50)),
+    ]
+    more = spark.createDataFrame([(10**9 + i, t, None, "other", len(t)) for i, t in enumerate(others)], docs.schema)
+    kept = {r["doc_id"] for r in rows_of(pipeline.language(spark, docs.unionByName(more), "").select("doc_id"))}
+    assert kept == {r["doc_id"] for r in rows_of(docs) if re.search(r"[^\W\d_]", r["text"] or "")}
+
+
 def brute_hits_fast(text, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     own = " " + " ".join(pattern.findall((text or "").translate(LOWER))) + " "
