@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import range_buckets
+
 #: Weights of shards by region and rack.
 Tree = list[list[list[float]]]
 #: Rows that are numbered together, about.
@@ -70,14 +72,14 @@ def place(df: DataFrame, key: str, of: Tree, name: str = "shard") -> DataFrame:
     return at.withColumn(name, _choose(F.col(key), F.get(F.array(*map(_children, shards)), F.col("_rack")))).drop("_region", "_rack")
 
 
-def slots(df: DataFrame, shard: str, key: str, order: list[str], rows: int, name: str = "slot") -> DataFrame:
-    """df with gapless numbers from 0 within each shard.
+def slots(df: DataFrame, shard: str, key: str, order: list[str], name: str = "slot") -> DataFrame:
+    """df with gapless numbers from 0 within each shard, in the order of `order`, which begins with the key (a long).
 
-    Shards are numbered in buckets by the key's hash, some `SLOT_ROWS` rows each, and each bucket goes on from the sum of the
-    buckets before it, so that no task holds a shard. Counts come from the key alone.
+    Shards are numbered in buckets, ranges of the key with some `SLOT_ROWS` rows of all shards each, and each bucket goes on from
+    the sum of the buckets before it, so that no task holds a shard and numbers don't depend on the buckets. Counts come from the key alone.
     """
-    per = max(1, -(-rows // SLOT_ROWS))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(per)).cast("int"))
+    bucket, _ = range_buckets(df, key, SLOT_ROWS)
+    df = df.withColumn("_bucket", bucket(F.col(key)))
     counts = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select(shard, "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
     numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order)))
@@ -93,7 +95,7 @@ def op3_query(docs: DataFrame, shards: int = 40) -> DataFrame:
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     of = tree(shards)
     placed = place(place(rows, "doc_id", of), "doc_id", grown(of), "grown_shard")
-    out = slots(placed, "shard", "doc_id", ["doc_id", "text_crc32", "size"], docs.select("doc_id").count())
+    out = slots(placed, "shard", "doc_id", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -114,7 +116,7 @@ def _sql_shard(of: Tree) -> str:
     return f"CASE {_sql_choose([(str(r), sum(map(sum, x)), r) for r, x in enumerate(of)])} {' '.join(cases)} END"
 
 
-#: Slots here follow doc_id through the whole shard, which equals the operator's numbers as long as a shard is one bucket.
+#: Slots follow doc_id through the whole shard, as the operator's do.
 OP3_SQL = f"""
 WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
     lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),

@@ -170,6 +170,14 @@ def test_op3(spark, odd, none):
     assert size[0]["size"] == 16 and size[0]["text_crc32"] == 0 and size[8]["text_crc32"] == zlib.crc32(LONG.encode()) and size[8]["size"] == len(LONG) + 16
 
 
+def test_op3_slots_follow_ids_in_many_buckets(spark, odd, monkeypatch):
+    docs = odd.select("doc_id", "text").unionByName(spark.range(100, 900).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))).cache()
+    key = lambda r: tuple(-1 if r[c] is None else r[c] for c in ("shard", "slot", "doc_id", "text_crc32"))
+    one = sorted(map(key, rows_of(sharding.op3_query(docs))))
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    assert sorted(map(key, rows_of(sharding.op3_query(docs)))) == one
+
+
 def test_op3_movement(spark):
     ids = spark.range(20_000)
     old = [[[1.0, 1.0], [2.0]], [[1.0], [1.0, 0.0]]]
