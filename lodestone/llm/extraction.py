@@ -1,17 +1,20 @@
-"""Operator 9: main text of HTML by article element, else by line-block distribution.
-
-Markup is stripped into lines, one for each block of text, with an empty line where a container begins or ends. Lines of
-containers that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments), by element or by class, id or role, have length 0, and so has anchor text outside an article. Lengths are summed over windows of lines; a surge
-is where a window's sum rises from nothing, a dive is where it falls to nothing. In a page without
-an article element the text between surges and dives is kept, so that only lines of nothing but links, away from other text, go. In a
-page with one this method decides nothing: by a tag and class rule all lines of the largest article that aren't hidden are kept.
+"""Operator 9: main text of HTML by line-block distribution.
+
+Markup is stripped into lines, one for each block of text, with an empty line where a container outside articles begins or ends. A line
+weighs its length outside anchors; in an article or main element all of its length, `ARTICLE` times; in a container that is
+never article text (menus, headers, footers, sidebars, notices, adverts, forms, comments; by element or by class, id or role)
+nothing. Weights are summed over sliding windows of lines around each line. A surge is where a window's sum rises from nothing, a dive is where it falls to
+nothing again, and the lines between are a region; no window reaches across an article's edge. A region stays if its highest sum is at least `NEAR` of the page's highest,
+as long as that is an article's: so a teaser beside an article goes, and so does an article that is a teaser beside the page's
+real text. Where the highest sum is no article's nothing tells short text from main text, and every region stays; only
+lines of nothing but links, away from other text, go.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,24 +24,34 @@ from pyspark.sql import types as T
 
 from lodestone.llm.shared import schema_with
 
+#: Lines in a window, how much more a character weighs within articles, and the share of the highest sum that a region needs beside an article.
+WINDOW, ARTICLE, NEAR = 3, 8, 0.25
 #: Fixed values of HTML: elements by their role in a page.
 RAW = "script style noscript template svg math iframe object canvas textarea select datalist xmp head title"
 ASIDE = "nav header footer aside form menu dialog button fieldset"
 BLOCK = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-#: Words of which a name in class, id or role consists that marks what isn't article text.
-OTHER = "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar side aside menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar topbar header masthead footer foot copyright comment comments comentarios kommentare discussion disqus replies reply respond share sharing social related recommended recommendations teaser widget search form contentinfo complementary"
+#: Words of which a name in class, id or role consists that says one of the roles that aren't article text.
+OTHER = {
+    "menu": "menu menus nav navbar navigation breadcrumb breadcrumbs pagination toolbar", "header": "header masthead", "footer": "footer copyright contentinfo",
+    "sidebar": "sidebar side aside complementary related share sharing social widget", "notice": "notice notices alert banner cookie cookies consent gdpr modal popup",
+    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion", "form": "form login newsletter search signup subscribe", "comments": "comment comments replies respond",
+}
 #: Elements that hold a page's text, whose names tell of its layout or state.
 WHOLE = "html body main article"
-_RAW, _ASIDE, _BLOCK, _VOID, _OTHER, _WHOLE = (frozenset(x.split()) for x in (RAW, ASIDE, BLOCK, VOID, OTHER, WHOLE))
+_RAW, _ASIDE, _BLOCK, _VOID, _WHOLE = (frozenset(x.split()) for x in (RAW, ASIDE, BLOCK, VOID, WHOLE))
+_OTHER = frozenset(w for words in OTHER.values() for w in words.split())
 
-_PART = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements that a following one of the same kind, or their container's end, closes.
 _SELF = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 
+Line = tuple[str, int, bool, int]
+
 
 def _other(attributes: str) -> bool:
     """Whether a whole name is of such words: cookie-notice is, no-sidebar and comments-open aren't."""
@@ -50,114 +63,181 @@ def _other(attributes: str) -> bool:
     return False
 
 
-def strip(page: str) -> list[tuple[str, int, bool, int]]:
-    """Lines of (text, length of text outside anchors, whether it is never article text, number of the outermost article or 0); ('', 0, False, 0) where a container begins or ends."""
-    out: list[tuple[str, int, bool, int]] = []
-    parts: list[str] = []
-    free = 0  # characters outside anchors
+def parts(page: str) -> Iterator[tuple[str, str, str]]:
+    """('text', text, ''), ('open', name, attributes) and ('close', name, '') in order, without comments, declarations and the contents of raw elements.
+
+    Every character is looked at a bounded number of times, however broken the page is: what a search for a quote or a `>` that
+    isn't there has found out is kept.
+    """
+    at, n, last = 0, len(page), page.rfind(">")
+    missing: set[str] = set()  # quotes that don't come again
+
+    def tag_end(i: int) -> int:
+        """Where a tag's > is; one in quotes doesn't count if the quotes are closed."""
+        while True:
+            c = _STOP.search(page, i)
+            if c is None:
+                return -1
+            if c[0] == ">":
+                return c.start()
+            i = c.end()
+            if c[0] not in missing:
+                close = page.find(c[0], i)
+                if close < 0:
+                    missing.add(c[0])
+                else:
+                    i = close + 1
+
+    while at < n:
+        start = page.find("<", at)
+        if start != at:
+            yield "text", page[at : start if start >= 0 else n], ""
+            if start < 0:
+                return
+            at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            yield "text", html.escape(page[at + 9 : n if end < 0 else end], quote=False), ""
+            at = n if end < 0 else end + 3
+            continue
+        if at < last and page[at + 1] in "!?":
+            at = page.find(">", at) + 1
+            continue
+        name = _NAME.match(page, at + 1) if at < last else None
+        end = -1
+        if name is not None:
+            end = tag_end(name.end())
+            if end < 0:  # quotes that never close: the next > is the end
+                end = page.find(">", name.end())
+        if end < 0:
+            yield "text", "<", ""
+            at += 1
+            continue
+        own, closing, attributes = name[1].lower(), page[at + 1] == "/", page[name.end() : end]
+        at = end + 1
+        if closing:
+            yield "close", own, ""
+            continue
+        if own in _RAW and own != "head":  # up to its own end tag all is its own; head's parts are skipped one by one, since it may have no end tag
+            if not attributes.endswith("/"):
+                found = re.compile(rf"</{re.escape(own)}\s*[^>]*>", re.I).search(page, at) if at < last else None
+                at = n if found is None else found.end()
+            if own in ("select", "textarea"):
+                yield "text", " ", ""
+            continue
+        yield "open", own, attributes
+
+
+def strip(page: str) -> list[Line]:
+    """Lines of (text, length of text outside anchors, whether it is never article text, number of the outermost article or 0); ('', 0, False, 0) where a container outside articles begins or ends."""
+    out: list[Line] = []
+    text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open containers, and whether they are never article text
-    hidden = anchors = articles = 0
+    opened: Counter[str] = Counter()  # how many of each name are on the stack
     article: list[int] = []
+    free = hidden = anchors = articles = inner = 0  # free: characters outside anchors; inner: open article elements
 
     def flush() -> None:
         nonlocal free
-        if text := " ".join(html.unescape("".join(parts)).split()):
-            out.append((text, free, hidden > 0, article[0] if article else 0))
-        parts.clear()
+        if line := " ".join(html.unescape("".join(text)).split()):
+            out.append((line, free, hidden > 0, article[0] if article else 0))
+        text.clear()
         free = 0
 
-    def pop(upto: int) -> None:
-        nonlocal hidden
-        while len(stack) > upto:
-            name, was = stack.pop()
-            hidden -= was
-            if name in ("article", "main") and article:
-                article.pop()
+    def pop() -> str:
+        nonlocal hidden, inner
+        name, was = stack.pop()
+        opened[name] -= 1
+        hidden -= was
+        if name in ("article", "main"):
+            article.pop()
+            inner -= name == "article"
+        return name
 
-    raw, at, n = "", 0, len(page)
-    while at < n:
-        if raw:  # text up to its own end tag is no markup
-            end = re.compile(rf"</{raw}\s*[^>]*>", re.I).search(page, at)
-            at, raw = (end.end() if end else n), ""
-            continue
-        m = _PART.match(page, at)
-        at = m.end()
-        s = m[0]
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if s[0] != "<" or s == "<" or s.startswith("<![CDATA["):
-                s = html.escape(s[9:].removesuffix("]]>"), quote=False) if s.startswith("<![CDATA[") else s
-                parts.append(s)
-                if not anchors:
-                    free += len(s.strip())
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not closing and name in _RAW:
-            if name == "head":  # its parts are skipped one by one; it may have no end tag
-                continue
-            if not attributes.endswith("/"):
-                raw = re.escape(name)
-            parts.append(" ") if name in ("select", "textarea") else None
+    for kind, name, attributes in parts(page):
+        if kind == "text":
+            text.append(name)
+            if not anchors:
+                free += len(name.strip())
             continue
         if name == "a":
-            anchors = max(0, anchors - 1) if closing else 1
+            anchors = int(kind == "open")
             continue
         if name == "br":
-            parts.append(" ")
-            continue
-        other = not closing and (name in _ASIDE or name not in _WHOLE and _other(attributes))
-        if name not in _BLOCK and name not in _ASIDE and not other and not (closing and any(x[0] == name for x in stack[-6:])):
+            text.append(" ")
             continue
         if name in _VOID and name != "hr":
             continue
+        # an article in an article may be a reader's comment; others' names tell of layout
+        other = kind == "open" and (name in _ASIDE or (name not in _WHOLE or name == "article" and inner > 0) and _other(attributes))
+        if not other and name not in _BLOCK and name not in _ASIDE and not opened[name]:
+            continue  # an element within a line; within a hidden one of its name it counts, so that the right end tag ends that
         flush()
         anchors = 0
         if name == "hr":
             continue
-        if closing:
-            for k in reversed(range(len(stack))):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+        before = bool(article)
+        if kind == "close":
+            if opened[name]:
+                while pop() != name:
+                    pass
         else:
-            if name in _SELF and stack and stack[-1][0] == name:
-                pop(len(stack) - 1)
-            if name in _BLOCK and name not in _SELF and stack and stack[-1][0] == "p":
-                pop(len(stack) - 1)
+            if stack and (name in _SELF and stack[-1][0] == name or name in _BLOCK and name not in _SELF and stack[-1][0] == "p"):
+                pop()
             stack.append((name, other))
+            opened[name] += 1
             hidden += other
             if name in ("article", "main"):
-                if not article:
-                    articles += 1
+                articles += not article
                 article.append(articles)
-        if name not in _SELF:
+                inner += name == "article"
+        if name not in _SELF and not (before and article):
             out.append(("", 0, False, 0))
     flush()
     return out
 
 
-def main_text(page: str | None, window: int = 3) -> str:
+def weighed(lines: list[Line], window: int = WINDOW) -> list[tuple[str, int, bool]]:
+    """(text, weight, whether it is an article's): the lines that windows slide over.
+
+    Between lines of different articles, or of one and none, stand as many empty lines as a window has. Hidden lines have weight 0 and no text, and have no place within an article.
+    """
+    out: list[tuple[str, int, bool]] = []
+    now = 0
+    for text, free, never, number in lines:
+        if number != now:
+            out += [("", 0, False)] * window
+            now = number
+        if not number:
+            out.append(("", 0, False) if never else (text, free, False))
+        elif not never:
+            out.append((text, ARTICLE * len(text), True))
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, near: float = NEAR) -> str:
     """The page's main text, a line for each block; '' for null, empty or text-less pages."""
-    lines = strip(page or "")
-    sizes: dict[int, int] = {}
-    for _, free, never, number in lines:
-        if number and not never:
-            sizes[number] = sizes.get(number, 0) + free
-    best = max(sizes, key=lambda k: (sizes[k], -k)) if sizes else 0
-    # an article's lines count whole, lines outside it not at all; without one, anchor text doesn't count
-    own = [0 if never or number != best else len(text) if best else free for text, free, never, number in lines]
-    sums = [sum(own[i : i + window]) for i in range(len(own))]
+    lines = weighed(strip(page or ""), window)
+    upto = [0]
+    for _, weight, _ in lines:
+        upto.append(upto[-1] + weight)
+    before, after, n = (window - 1) // 2, window // 2 + 1, len(lines)
+    sums = [upto[min(i + after, n)] - upto[max(i - before, 0)] for i in range(n)]
     regions, i = [], 0
-    while i < len(own):
-        if not own[i]:
-            i += 1
-            continue
-        j = i  # a surge here; the dive is where a whole window has nothing
-        while j < len(own) and sums[j]:
+    while i < n:
+        j = i
+        while j < n and sums[j]:  # from a surge to its dive
             j += 1
-        regions.append((i, j))
-        i = j
-    return "\n".join(lines[k][0] for i, j in regions for k in range(i, j) if lines[k][0] and not lines[k][2] and lines[k][3] == best)
+        if j > i:
+            regions.append((max(sums[i:j]), any(x[2] for x in lines[i:j]), i, j))
+        i = j + 1
+    highest, of_article, *_ = max(regions, default=(0, False))
+    least = near * highest if of_article else 0
+    return "\n".join(lines[k][0] for peak, _, i, j in regions if peak >= least for k in range(i, j) if lines[k][0])
 
 
 def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:
@@ -175,4 +255,5 @@ def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataF
 
 
 def op9_query(pages: DataFrame) -> DataFrame:
+    """The main text of every page. Null, empty and text-less pages have '' and 0; repeated rows and null ids are rows like any other."""
     return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
