@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut
+from lodestone.llm.shared import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,13 +15,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     deep needs rounds by the logarithm of its depth in practice, a star two. Hub nodes only meet partial minima and joins
     that Spark can split.
     """
-    both = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("other"))).where("id <> other").distinct())
-    labels = cut(both.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("component")))
+    both = written(edges.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("other"))).where("id <> other").distinct())
+    labels = written(both.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("component")))
     while True:
         seen = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("least"))
         near = labels.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "least").alias("near"))
         jumped = near.join(labels.select(F.col("id").alias("near"), F.col("component").alias("far")), "near", "left").select("id", "was", F.least("near", "far").alias("component"))
-        jumped = cut(jumped)
+        jumped = written(jumped)
         changed = jumped.where("component <> was").limit(1).count()
         labels = jumped.drop("was")
         if not changed:

@@ -45,12 +45,8 @@ def new_dir(spark: SparkSession, what: str) -> str:
 
     def drop() -> None:
         try:
-            from pyarrow import fs
-
-            store, path = fs.FileSystem.from_uri(where)
-            if store.get_file_info(path).type == fs.FileType.Directory:
-                store.delete_dir(path)
-        except Exception:  # noqa: BLE001  the session's end must not fail on what is only cleaning up
+            remove(spark, where)
+        except Exception:  # noqa: BLE001  the session may be gone; its end must not fail on what is only cleaning up
             return
 
     atexit.register(drop)
@@ -63,6 +59,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, where: str) -> None:
+    """Removes a folder of any store that Spark reaches."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read back. Unlike a checkpoint's, its size is the files', not a product of estimates: loops need that,
+    or the planner's estimates grow by a power with each round until planning itself never ends."""
+    where = new_dir(df.sparkSession, "table")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df, of which `rows` is the known count, marked for broadcast if that is small."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
