@@ -1,11 +1,14 @@
 """Operators 4 and 6: counts of tokens with the whole-token shortcut, and flat files of token ids.
 
 For a byte-level BPE vocabulary without normalizer the pieces that the pre-tokenizer cuts (pre-tokens) are encoded one by one.
-`prove` finds, once for a vocabulary, the strings in it that the library encodes as that one token: merging needn't be
-run for a pre-token among them. The rest is merged by the library, once for each different pre-token as long as the
-memory for them lasts. Texts whose white space is single spaces and line breaks are first split there, which no pre-token crosses, and
-whole chunks are remembered; other texts are cut as a whole. Pre-tokens are cut by a pattern of explicit character ranges where all characters are below U+0250 or in
-U+2010..U+2027 and U+2030..U+205E; texts with any other character go to the library whole.
+`prove` finds, once for a vocabulary and before any job, the strings in it that the library encodes as that one token: merging needn't be
+run for a pre-token among them. Tasks get the proven strings with their code. The rest is merged by the library, once for each different pre-token as long as the
+memory for them lasts.
+
+A pre-token never reaches from a character that isn't white space to one that is, so texts are cut there: long ones into pieces, worked on one after another, and
+those with single spaces and line breaks alone into chunks, which are remembered whole. Pre-tokens are cut by a pattern of
+explicit character ranges where all characters are below U+0250 or in U+2010..U+2027 and U+2030..U+205E; a word with any other character
+goes to the library, and the words around it don't.
 """
 
 from __future__ import annotations
@@ -24,10 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import cut, new_dir, range_buckets, schema_with
+from lodestone.llm.shared import cut, range_buckets, schema_with
+from lodestone.llm.stores import new_store, open_store
 
 #: Different strings whose tokens a worker remembers, about 150 bytes each, and as many that it knew before.
 REMEMBERED = 400_000
+#: Characters that are worked on at once.
+PIECE = 1 << 16
+#: Where a text may be cut: before white space, or a full stop of Chinese and Japanese after one of their letters.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])(?=[\u3001\u3002])")
 _FAR = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 #: White space other than single spaces and line breaks between words.
 _WIDE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
@@ -94,7 +103,8 @@ class Memory(dict):
 class Counter:
     """Token ids of texts as the library gives them, without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: dict[str, bytes] | None = None):
+        """known: what `prove` has found for this vocabulary; null: it is proven here."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -115,10 +125,12 @@ class Counter:
         self.known: dict[str, bytes] = {}
         if self.by_piece:
             self.model = self.library.model
-            self.known = {s: np.array([i], self.dtype).tobytes() for s, i in self.prove().items()}
+            self.known = {s: np.array([i], self.dtype).tobytes() for s, i in self.prove().items()} if known is None else known
         self.pieces = Memory(self._merge, self.known)
         #: what stands between two spaces; a line break begins a chunk of its own, without a space
         self.chunks = Memory(self._chunk, {})
+        #: words with characters that the pattern doesn't know
+        self.far = Memory(self._library, {})
 
     def prove(self) -> dict[str, int]:
         """Vocabulary strings that are one whole pre-token and that the library encodes alone as their own single token."""
@@ -149,16 +161,43 @@ class Counter:
     def _pieces(self, part: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.cut.findall(part)))
 
+    def _library(self, part: str) -> bytes:
+        return np.array(self.library.encode(part, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _far(self, part: str) -> bytes:
+        """Of a part with unknown characters: its words one by one, each with the white space before it, which no pre-token leaves at its end."""
+        return b"".join([self.far[word] if _FAR.search(word) else self._pieces(word) for word in _CUT.split(part) if word])
+
+    def cut_up(self, text: str) -> Iterator[str]:
+        """Pieces of about `PIECE` characters of which each is encoded as in the whole text."""
+        if not self.by_piece or len(text) <= PIECE or any(re.search(r"\s", x) for x in self.special):
+            yield text
+            return
+        at = 0
+        while at < len(text):
+            found = _CUT.search(text, at + PIECE) if at + PIECE < len(text) else None
+            end = len(text) if found is None else found.start()
+            yield text[at:end]
+            at = end
+
+    def packed(self, text: str | None) -> Iterator[bytes]:
+        """The packed ids, piece by piece."""
+        if text:
+            yield from map(self._ids, self.cut_up(text))
+
     def ids(self, text: str | None) -> bytes:
         """The packed ids."""
-        if not text:
-            return b""
-        if not self.by_piece or _is_far(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        out = []
+        return b"".join(self.packed(text))
+
+    def _ids(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self._library(text)
+        out, far = [], _is_far(text)
         for part in self.cut_special.split(text) if any(x in text for x in self.special) else [text]:
             if part in self.special:
                 out.append(np.array([self.special[part]], self.dtype).tobytes())
+            elif far and _is_far(part):
+                out.append(self._far(part))
             elif any(x in part for x in _WIDE):
                 out.append(self._pieces(part))
             elif part:
@@ -168,22 +207,33 @@ class Counter:
         return b"".join(out)
 
     def count(self, text: str | None) -> int:
-        return len(self.ids(text)) // self.dtype().itemsize
+        return sum(map(len, self.packed(text))) // self.dtype().itemsize
 
 
 @lru_cache(2)
-def counter(path: str) -> Counter:
+def proven(path: str) -> dict[str, bytes]:
+    """The vocabulary strings that alone are one token, with their packed ids: proven once in the driver, and sent with the tasks' code, about 1 MB for 50,000 strings."""
+    return Counter(path).known
+
+
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter(path: str, known: dict[str, bytes]) -> Counter:
     """One for all tasks of a worker."""
-    return Counter(path)
+    if path not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[path] = Counter(path, known)
+    return _COUNTERS[path]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of each whole text; 0 for null and empty texts. A column of that name is replaced."""
     path = path or default_path()
-    rest = docs.drop(name)
+    rest, known = docs.drop(name), proven(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = counter(path, known)
         for b in batches:
             counts = [own.count(t.as_py()) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], [*b.schema.names, name])
@@ -192,6 +242,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", n
 
 
 def op4_query(docs: DataFrame, limit: int = 512) -> DataFrame:
+    """Bytes and tokens of every whole text. Null and empty texts have 0 of both; repeated rows and null ids are rows like any other; an empty table gives none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = token_counts(docs.select("doc_id", F.col("text"), F.octet_length(text).cast("long").alias("n_bytes")))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -206,6 +257,7 @@ def write_ids(docs: DataFrame, where: str, path: str | None = None, end: int = 0
     repeated task writes the same bytes, so a lost executor leaves no wrong file.
     """
     path = path or default_path()
+    known = proven(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bucket, n = range_buckets(rows, "doc_id", least=docs.sparkSession.sparkContext.defaultParallelism)
     dealt = rows.withColumn("bucket", bucket(F.col("doc_id"))).repartition(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
@@ -215,9 +267,9 @@ def write_ids(docs: DataFrame, where: str, path: str | None = None, end: int = 0
 
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(where)
+        store, base = open_store(where)
         store.create_dir(base, recursive=True)
-        own = counter(path)
+        own = counter(path, known)
         last = np.array([end], own.dtype).tobytes()
         now, out, temp, offsets, names, done = None, None, "", [0], [], []
 
@@ -243,9 +295,11 @@ def write_ids(docs: DataFrame, where: str, path: str | None = None, end: int = 0
                         close()
                     now, temp, offsets, names = b, f"{base}/_{b}-{uuid.uuid4().hex}", [0], []
                     out = store.open_output_stream(f"{temp}.ids")
-                data = own.ids(t.as_py()) + last
-                out.write(data)
-                offsets.append(offsets[-1] + len(data) // own.dtype().itemsize)
+                n = 0
+                for data in (*own.packed(t.as_py()), last):
+                    out.write(data)
+                    n += len(data) // own.dtype().itemsize
+                offsets.append(offsets[-1] + n)
                 names.append(i)
         if out is not None:
             close()
@@ -265,7 +319,7 @@ def read_ids(manifest: DataFrame, where: str, path: str | None = None) -> DataFr
         from tokenizers import Tokenizer
 
         dtype = np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "<u4")
-        store, base = fs.FileSystem.from_uri(where)
+        store, base = open_store(where)
         for batch in batches:
             for b, first, rows in zip(*(batch.column(k).to_pylist() for k in ("bucket", "first", "rows")), strict=True):
                 with store.open_input_file(f"{base}/{b}.off") as f:
@@ -289,5 +343,7 @@ def read_ids(manifest: DataFrame, where: str, path: str | None = None) -> DataFr
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
-    where = new_dir(docs.sparkSession, "token-ids")
+    """Files of all documents, read back. Null and empty texts are the end id alone; rows without doc_id come first, and rows of one doc_id
+    follow each other by text, null first; an empty table gives no file and no row."""
+    where = new_store(docs.sparkSession, "token-ids")
     return read_ids(write_ids(docs, where), where)
