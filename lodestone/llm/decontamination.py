@@ -8,13 +8,13 @@ the spans they cover are merged for each document.
 Only stretches of a document that can be in an occurrence are indexed: where every two neighbouring words are neighbours
 in some phrase, for as long as the shortest phrase is. That loses nothing, since every other word is in no phrase.
 
-Phrases come in blocks of at most `block_words` words, which the tasks hold one at a time: one block goes with the code, more are
-written to the shared folder and read from there, so memory doesn't grow with the benchmark.
+Phrases come in blocks of at most `block_words` words, which the tasks hold one at a time: a single block of up to `BROADCAST_ROWS` windows goes
+with the code, others are written to the shared folder and read from there, so memory doesn't grow with the benchmark. The driver streams the benchmark's texts, block by block.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import hashing
-from lodestone.llm.shared import new_dir
+from lodestone.llm.shared import BROADCAST_ROWS
+from lodestone.llm.stores import new_store, open_store
 
 U = np.uint64
 SHARD_BYTES = 4 << 20
@@ -169,18 +170,17 @@ class Phrases:
         self.least = int(longer.min()) if len(longer) else width + 1
 
 
-def windows_of(items: Iterator[tuple[int, str | None]], width: int, block_words: int) -> Iterator[Phrases]:
-    """Blocks of the different windows of (id, text) items; an item of fewer words than width, but not none, is one window."""
-    windows: dict[tuple[int, ...], list[int]] = {}
+def windows_of(items: Iterator[tuple[object, str | None]], width: int, block_words: int) -> Iterator[Phrases]:
+    """Blocks of the different windows of (id, text) items; an item of fewer words than width, but not none, is one window. Windows of null ids have no id."""
+    windows: dict[tuple[int, ...], list] = {}
     size = 0
     for i, text in items:
         data, offsets = hashing.flat(pa.array([text], pa.large_string()))
         h = hashing.word_hashes(data, offsets, hashing.ALNUM)[0].tolist()
         for k in range(max(1, len(h) - width + 1) if h else 0):
+            size += width * (tuple(h[k : k + width]) not in windows)
             own = windows.setdefault(tuple(h[k : k + width]), [])
-            if not own:
-                size += width
-            if not own or own[-1] != i:
+            if i is not None and (not own or own[-1] != i):
                 own.append(i)
         if size >= block_words:
             yield Phrases(windows, width)
@@ -237,36 +237,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_w
     """(doc_id, n_words, spans, items) of each row of docs: merged spans of hit words (first, end) and the ids of items with occurring windows, ascending.
 
     Words are runs of ASCII letters and digits (capitals as small letters) and characters beyond ASCII. Null and empty texts have no words, items of null text
-    no windows; without a benchmark nothing is hit. Repeated items count as they are named: equal ids once.
+    no windows; without a benchmark nothing is hit. Ids may be of any type that can be ordered, and keep it. Repeated items count as they are named: equal ids once; words
+    that items without id hit are in spans, but there is no id to list. Repeated rows of docs are rows like any other.
     """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    source = benchmark.select(F.col(item), "text").toLocalIterator()
+    source = benchmark.select(F.col(item), F.col("text").cast("string").alias("text")).toLocalIterator()
     blocks = windows_of(((r[0], r[1]) for r in source), width, block_words)
     head, second = next(blocks, None), next(blocks, None)
     inline, paths = ([head] if head is not None else []), []
-    if second is not None:
-        from pyarrow import fs
-
-        where = new_dir(spark, "benchmark")
-        store, base = fs.FileSystem.from_uri(where)
-        store.create_dir(base, recursive=True)
-        import itertools
-
-        for k, block in enumerate(itertools.chain([head, second], blocks)):
+    if second is not None or head is not None and len(head.table) > BROADCAST_ROWS:
+        where = new_store(spark, "benchmark")
+        store, base = open_store(where)
+        for k, block in enumerate(itertools.chain(filter(None, [head, second]), blocks)):
             with store.open_output_stream(f"{base}/{k}.pickle") as f:
                 f.write(pickle.dumps(block))
             paths.append(f"{where}/{k}.pickle")
         inline = []
 
     def load() -> Iterator[Phrases]:
-        from pyarrow import fs
-
         yield from inline
         for path in paths:
-            store, at = fs.FileSystem.from_uri(path)
+            store, at = open_store(path)
             with store.open_input_stream(at) as f:
                 yield pickle.loads(f.read())  # noqa: S301  written by this job
 
+    kind = benchmark.schema[item].dataType
+    id_type = to_arrow_type(kind)
     def search(ids: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
         column, names = pa.chunked_array(texts), pa.concat_arrays(ids)
         data, offsets = hashing.flat(column)
@@ -293,8 +292,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_w
         spans: list[list] = [[] for _ in range(len(names))]
         for d, x, y in zip(doc[a].tolist(), a.tolist(), b.tolist(), strict=True):
             spans[d].append({"first": x - int(first[d]), "end": y - int(first[d])})
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([names, pa.array(sizes), pa.array(spans, kind), pa.array([sorted(s) for s in hit_items], pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays([names, pa.array(sizes), pa.array(spans, span), pa.array([sorted(s) for s in hit_items], pa.list_(id_type))], ["doc_id", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -311,7 +310,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_w
         if ids:
             yield search(ids, texts)
 
-    schema = "doc_id long, n_words long, spans array<struct<first: long, end: long>>, items array<long>"
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, spans array<struct<first: long, end: long>>").fields, T.StructField("items", T.ArrayType(kind))])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -325,6 +324,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = 1) ->
 
 
 def op7_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Hit words and items of every document. Null and empty texts have no words; an item without id hits words but isn't counted or listed; repeated rows and null doc_ids are rows like any other."""
     found = contamination(docs, benchmark)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
