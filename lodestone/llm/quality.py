@@ -8,6 +8,8 @@ probability of label 1 given that quality, by a logistic curve fitted on the sam
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +22,19 @@ from lodestone.llm import hashing
 from lodestone.llm.samples import sample
 from lodestone.llm.shared import schema_with
 
-#: Labelled documents that the field is fitted on, shared equally between both labels.
-SAMPLE = 2_400
+#: Labelled documents that the field is fitted on, shared equally between both labels, and the lines that one of them teaches at most, a run of its own.
+SAMPLE, SAMPLE_LINES = 2_400, 2_000
 _KINDS = [lambda b: 97 <= b <= 122, lambda b: 65 <= b <= 90, lambda b: 48 <= b <= 57, lambda b: b in b" \t", lambda b: b in b".,;:?'\"()-", lambda b: b in b"!", lambda b: b in b"|", lambda b: b in b"#$%&*@^~=+<>[]{}_\\/`", lambda b: b > 127]
 _KIND = np.array([next((k for k, f in enumerate(_KINDS) if f(b)), len(_KINDS)) for b in range(256)])
 #: Features of a line, without its neighbours'.
 WIDTH = 15
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row of features for each line of the texts, its length in bytes, and each text's first line. Empty texts have one empty line."""
+Stats = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _stats(data: np.ndarray, offsets: np.ndarray) -> tuple[Stats, np.ndarray, tuple[int, int]]:
+    """Of each line of the texts: bytes by kind, length in bytes, words, and words equal to the one before; each text's first line; and the first and last word of all."""
     n = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
     start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
@@ -49,15 +54,52 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     same = np.zeros(len(words))
     if len(words) > 1:
         same[1:] = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
-    n_words = np.bincount(of, minlength=len(start))
+    n_words = np.bincount(of, minlength=len(start)).astype(float)
     repeats = np.bincount(of, weights=same, minlength=len(start))
+    return (counts, length, n_words, repeats), first, (int(words[0]), int(words[-1])) if len(words) else (0, 0)
+
+
+def _features(stats: Stats) -> np.ndarray:
+    counts, length, n_words, repeats = stats
     size, letters = np.maximum(length, 1), np.maximum(counts[:, 0] + counts[:, 1] + counts[:, 8], 1)
     some = lambda x, sharp: np.tanh(sharp * x)
-    x = np.column_stack([
+    return np.column_stack([
         np.log1p(length) / 8, counts[:, 1] / letters, counts[:, 2] / size, counts[:, 3] / size, counts[:, 4] / size, some(counts[:, 5] / size, 20), some(counts[:, 6] / size, 20), some(counts[:, 7] / size, 20),
-        counts[:, 8] / size, some(counts[:, 9] / size, 20), np.minimum(length / np.maximum(n_words, 1), 40) / 10, some(repeats / np.maximum(n_words, 1), 8), n_words == 0, n_words < 4, np.ones(len(start)),
+        counts[:, 8] / size, some(counts[:, 9] / size, 20), np.minimum(length / np.maximum(n_words, 1), 40) / 10, some(repeats / np.maximum(n_words, 1), 8), n_words == 0, n_words < 4, np.ones(len(length)),
     ])
-    return x, length, first
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of features for each line of the texts, its length in bytes, and each text's first line. Empty texts have one empty line."""
+    stats, first, _ = _stats(data, offsets)
+    return _features(stats), stats[1], first
+
+
+def long_lines(data: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, lengths) of the lines of one long text, as `lines` has them, from pieces of it: a line that goes on in the next piece waits for its rest."""
+    held: Stats | None = None
+    last, at = 0, 0
+    while at < len(data):
+        end = min(at + piece, len(data))
+        while end < len(data) and hashing.SPACED[data[end - 1]]:  # not within a word
+            outside = np.flatnonzero(~hashing.SPACED[data[end : end + 4096]])
+            end = end + int(outside[0]) + 1 if len(outside) else min(end + 4096, len(data))
+        stats, _, (head, tail) = _stats(data[at:end], np.array([0, end - at]))
+        worded = stats[2][-1] > 0
+        if held is not None:
+            if head and head == last and stats[2][0] > 0:
+                stats[3][0] += 1
+            for mine, its in zip(stats, held, strict=True):
+                mine[0] += its[0]
+        last = tail if worded else last if len(stats[1]) == 1 else 0
+        held = tuple(x[-1:].copy() for x in stats)
+        ready = tuple(x[:-1] for x in stats)
+        if len(ready[1]):
+            yield _features(ready), ready[1]
+        at = end
+    if held is None:
+        held = _stats(data, np.array([0, 0]))[0]
+    yield _features(held), held[1]
 
 
 def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -160,18 +202,65 @@ class Field:
         return self
 
 
-def score_texts(column: pa.Array, field: Field) -> np.ndarray:
-    """A score from 0 to 1 for each text."""
+def long_quality(data: np.ndarray, field: Field, piece: int = 1 << 20) -> float:
+    """The quality of one long text, as `Field.quality` has it, line by line: of each line its unary score, one message and its length stay, 12 bytes in all."""
+    good, length = array("f"), array("f")
+    before, waiting = np.zeros((1, WIDTH)), None
+
+    def push(rows: np.ndarray, after: np.ndarray) -> None:
+        nonlocal before
+        around = np.vstack([before, rows, after])
+        good.frombytes((np.column_stack([rows, around[:-2], around[2:]]) @ field.unary).astype(np.float32).tobytes())
+        before = rows[-1:]
+
+    for x, n in long_lines(data, piece):
+        length.frombytes(n.astype(np.float32).tobytes())
+        if waiting is not None:
+            push(waiting, x[:1])
+        waiting = x
+    push(waiting, np.zeros((1, WIDTH)))
+    # messages as log-odds of good
+    (a, b), (c, d) = field.step.tolist()
+    forward, now = array("f"), None
+    for g in good:
+        now = g if now is None else g + _log_odds(now, a, b, c, d)
+        forward.append(now)
+    total = weight = 0.0
+    back = 0.0
+    for k in range(len(good) - 1, -1, -1):
+        odds = forward[k] + back
+        p = 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+        total += p * (length[k] + 1)
+        weight += length[k] + 1
+        back = _log_odds(back + good[k], a, c, b, d)
+    return total / weight
+
+
+def _log_odds(r: float, bad_bad: float, bad_good: float, good_bad: float, good_good: float) -> float:
+    """The log-odds of good of a line, from the log-odds r of the one beside it and the scores of steps (of that line to this one)."""
+    if r > 0:
+        e = math.exp(-r)
+        return math.log(e * math.exp(bad_good) + math.exp(good_good)) - math.log(e * math.exp(bad_bad) + math.exp(good_bad))
+    e = math.exp(max(r, -700.0))
+    return math.log(math.exp(bad_good) + e * math.exp(good_good)) - math.log(math.exp(bad_bad) + e * math.exp(good_bad))
+
+
+def score_texts(column: pa.Array, field: Field, piece: int = 1 << 20) -> np.ndarray:
+    """A score from 0 to 1 for each text. Texts beyond a piece go line by line, so that memory grows by 12 bytes a line alone."""
     data, offsets = hashing.flat(column)
     out = np.zeros(len(column))
-    for i, j in hashing.ranges(offsets, 1 << 20):
+    for i, j in hashing.ranges(offsets, piece):
+        if j - i == 1 and offsets[j] - offsets[i] > piece:
+            out[i] = field.score(np.array([long_quality(data[offsets[i] : offsets[j]], field, piece)]))[0]
+            continue
         x, length, first = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         out[i:j] = field.score(field.quality(with_neighbours(x, first), length, first))
     return np.clip(out, 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: object, label: str = "quality", most: int = SAMPLE) -> Field:
-    """Learns from a sample of the labelled rows where `learn` holds; the sample's line features reach the driver, and nothing else.
+    """Learns from a sample of the labelled rows where `learn` holds; the sample's line features reach the driver, and nothing else: 60 bytes a line, of
+    `SAMPLE_LINES` lines of a document at most, in the middle of it, and of one row of those that repeat a doc_id.
 
     Labels other than 0 and 1 and those of unknown documents don't count. Without both labels every score is 0.5.
     """
@@ -182,12 +271,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: object, label: str = "quality
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = hashing.flat(b.column("text"))
-            for i, j in hashing.ranges(offsets, 1 << 20):
-                x, _, first = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                parts = [x[first[k] : first[k + 1]].astype(np.float32).tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("label").slice(i, j - i), pa.array(parts, pa.binary())], ["doc_id", "label", "x"])
+            parts = []
+            for i in range(len(offsets) - 1):
+                x = np.concatenate([x.astype(np.float32) for x, _ in long_lines(data[offsets[i] : offsets[i + 1]])])
+                skip = max(0, len(x) - SAMPLE_LINES) // 2
+                parts.append(x[skip : skip + SAMPLE_LINES].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(parts, pa.binary())], ["doc_id", "label", "x"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, label int, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    one = rows.mapInArrow(run, "doc_id long, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("m")).select("doc_id", "m.label", "m.x")
+    got = sorted(one.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     if len({r["label"] for r in got}) < 2:
         return Field()
     own = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(float) for r in got]
@@ -211,7 +303,8 @@ def score(docs: DataFrame, field: Field, text: str = "text", name: str = "score"
 
 
 def op8_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Learns where the checksum of doc_id modulo 4 isn't 2, scores everything."""
+    """Learns where the checksum of doc_id modulo 4 isn't 2, scores everything. Null texts count as empty, which have a score too; of a document's contradicting labels 1 counts; rows without
+    doc_id aren't held out, and teach nothing; repeated rows get equal scores; an empty table gives none."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     field = fit(docs, labels, ~held)
     scored = score(docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text")), field)
