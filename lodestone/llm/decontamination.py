@@ -240,6 +240,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_w
     no windows; without a benchmark nothing is hit. Ids may be of any type that can be ordered, and keep it. Repeated items count as they are named: equal ids once; words
     that items without id hit are in spans, but there is no id to list. Repeated rows of docs are rows like any other.
     """
+    return _scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text")), benchmark, width, block_words, item).drop("_text")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_words: int = 2_000_000, item: str = "item_id") -> DataFrame:
+    """docs (with `_text`, and no columns of the names that follow) and n_words, spans, items."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -266,14 +271,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_w
 
     kind = benchmark.schema[item].dataType
     id_type = to_arrow_type(kind)
-    def search(ids: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
-        column, names = pa.chunked_array(texts), pa.concat_arrays(ids)
+    def search(rows: list[pa.RecordBatch], texts: list[pa.Array]) -> pa.RecordBatch:
+        column, names = pa.chunked_array(texts), pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         data, offsets = hashing.flat(column)
         parts = [(i, *hashing.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hashing.ALNUM)) for i, j in hashing.ranges(offsets)]
         words = np.concatenate([np.zeros(0, U), *(w for _, w, _ in parts)])
         sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for *_, f in parts)])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        begins, ends, hit_items = [], [], [set() for _ in range(len(names))]
+        begins, ends, hit_items = [], [], [set() for _ in range(names.num_rows)]
         for phrases in load():
             begin, end, found = search_shard(words, first, phrases)
             begins.append(begin)
@@ -289,38 +294,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_w
         left = hit & ~np.concatenate([[False], hit[:-1] & (doc[1:] == doc[:-1])]) if len(hit) else hit
         right = hit & ~np.concatenate([hit[1:] & (doc[1:] == doc[:-1]), [False]]) if len(hit) else hit
         a, b = np.flatnonzero(left), np.flatnonzero(right) + 1
-        spans: list[list] = [[] for _ in range(len(names))]
+        spans: list[list] = [[] for _ in range(names.num_rows)]
         for d, x, y in zip(doc[a].tolist(), a.tolist(), b.tolist(), strict=True):
             spans[d].append({"first": x - int(first[d]), "end": y - int(first[d])})
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([names, pa.array(sizes), pa.array(spans, span), pa.array([sorted(s) for s in hit_items], pa.list_(id_type))], ["doc_id", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([*names.columns, pa.array(sizes), pa.array(spans, span), pa.array([sorted(s) for s in hit_items], pa.list_(id_type))], [*names.schema.names, "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        rows, texts, size = [], [], 0
         for batch in batches:
-            column = batch.column("text").cast(pa.large_string())
+            column = batch.column("_text").cast(pa.large_string())
             _, offsets = hashing.flat(column)
             for i, j in hashing.ranges(offsets, SHARD_BYTES):
-                ids.append(batch.column("doc_id").slice(i, j - i))
+                rows.append(batch.slice(i, j - i))
                 texts.append(column.slice(i, j - i))
                 size += int(offsets[j] - offsets[i])
-                if size >= SHARD_BYTES or len(ids) > 1000:
-                    yield search(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield search(ids, texts)
+                if size >= SHARD_BYTES or len(rows) > 1000:
+                    yield search(rows, texts)
+                    rows, texts, size = [], [], 0
+        if rows:
+            yield search(rows, texts)
 
-    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, spans array<struct<first: long, end: long>>").fields, T.StructField("items", T.ArrayType(kind))])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    more = T._parse_datatype_string("n_words long, spans array<struct<first: long, end: long>>").fields
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more, T.StructField("items", T.ArrayType(kind))]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, items: int = 1) -> DataFrame:
-    """docs without those in which windows of at least `items` items occur; rows without doc_id stay. The ids that go are broadcast only if few."""
-    from lodestone.llm.shared import cut, sized
-
-    found = contamination(docs, benchmark).where((F.size("items") >= items) & F.col("doc_id").isNotNull())
-    gone = cut(found.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without those in which windows of at least `items` items occur (of 1: any window), row by row, with or without doc_id. All columns stay."""
+    names = docs.columns
+    numbered = docs.select(*[F.col(f"`{c}`").alias("_text" if c == "text" else f"_{k}") for k, c in enumerate(names)])
+    hit = F.size("items") >= items if items > 1 else F.size("spans") > 0
+    left = _scanned(numbered.withColumn("_text", F.col("_text").cast("string")), benchmark).where(~hit)
+    return left.select(*[F.col("_text" if c == "text" else f"_{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op7_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A source's target is met by whole passes over its documents plus a part of one pass: the documents whose hash lies below a
 threshold. The threshold is found without sorting: tokens are summed by source and by the first 12 bits of the hash; the
 bucket in which the running sum passes the budget is the boundary, and only its rows are summed again by the next 12 bits,
-five times, until 60 bits are fixed. Sums and thresholds are tables, joined as sizes permit.
+five times, until 60 bits are fixed. Sums and thresholds are tables, joined as sizes permit. The windows over sources see one row for each source, in one task: sources are taken to be
+names, thousands at most.
 """
 
 from __future__ import annotations
@@ -50,13 +51,8 @@ def targets(sources: DataFrame, most: float = 3.0, weights: tuple[float, ...] =
     return levels.withColumn("_at", level).select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0) -> DataFrame:
-    """(key, source, size, source_size, target, times): how often the mix takes each document.
-
-    Null texts have size 0, and documents of size 0 are taken as often as their source's whole passes. Documents with equal keys
-    are taken or left together. Rows of the null source are a source. The last document is taken if at least half of it fits.
-    """
-    rows = cut(docs.select(F.col(key), F.col(source).alias("source"), words(F.col(text)).alias("size"), hash60(F.col(key)).alias("_hash")))
+def plan(rows: DataFrame, most: float, weights: tuple[float, ...], share: float) -> tuple[DataFrame, int]:
+    """(_s, source_size, target, passes, _threshold), a row for each source, and how many there are, from (source, size, _hash)."""
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most, weights, share)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims = cut(aims.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
@@ -76,12 +72,36 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             hit = sums.where("_upto > _left and _before <= _left")
             edge = cut(hit.select("_s", F.when(2 * F.col("_before") + F.col("_n") <= 2 * F.col("_left"), F.col("_prefix") + 1).otherwise(F.col("_prefix")).alias("_threshold")))
     aims = aims.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "passes", F.coalesce("_threshold", F.lit(0).cast("long")).alias("_threshold"))
+    return cut(aims), n
+
+
+def _rows(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    return cut(docs.select(F.col(key), F.col(source).alias("source"), words(F.col(text)).alias("size"), hash60(F.col(key)).alias("_hash")))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0) -> DataFrame:
+    """(key, source, size, source_size, target, times): how often the mix takes each document.
+
+    Null texts have size 0, and documents of size 0 are taken as often as their source's whole passes. Documents with equal keys, null ones too,
+    are taken or left together. Rows of the null source are a source. The last document is taken if at least half of it fits. An empty table gives none.
+    """
+    rows = _rows(docs, key, text, source)
+    aims, n = plan(rows, most, weights, share)
     out = rows.join(sized(aims, n), F.col("source").eqNullSafe(F.col("_s")))
     return out.select(key, "source", "size", "source_size", "target", (F.col("passes") + (F.col("_hash") < F.col("_threshold")).cast("long")).alias("times"))
 
 
+def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0) -> DataFrame:
+    """docs as often as `mix` takes them: repeated rows, or none. How often follows from a row's source and key, so texts meet the few rows of the sources alone."""
+    aims, n = plan(_rows(docs, key, text, source), most, weights, share)
+    aims = aims.select(F.struct("_s", "passes", "_threshold").alias("_mixing"))
+    times = F.col("_mixing.passes") + (hash60(F.col(key)) < F.col("_mixing._threshold")).cast("long")
+    found = docs.join(sized(aims, n), F.col(source).eqNullSafe(F.col("_mixing._s")))
+    return found.withColumn("_mixing", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)))).drop("_mixing")
+
+
 def op10_query(docs: DataFrame) -> DataFrame:
-    """Sources by code point weigh 5, 2, 1, repeating, and share all sizes, none above 3 times its source's."""
+    """Sources by code point weigh 5, 2, 1, repeating, and share all sizes, none above 3 times its source's. Nulls, ties and repeats as in `mix`."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
