@@ -14,8 +14,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language. Those without letters go, and those that fit no language: with trigrams enough to tell, by the
-    model's floor; shorter ones, whose scores say little, only where no better than chance."""
+    """Documents whose text is in a learned language. Those without letters go, null and empty ones too, and those that fit no language: with trigrams enough to tell, by the
+    model's floor; shorter ones, whose scores say little, only where no better than chance. Repeated rows and rows without doc_id stay or go by their text."""
     docs = docs.select(*COLUMNS)
     model = languages.fit(docs, F.lit(True))
     least = 1.1 / len(model.names) if len(model.names) > 1 else 0.0
@@ -24,25 +24,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each near-duplicate group."""
+    """One document, that of the smallest doc_id, of each near-duplicate group. Of repeated rows, and of a doc_id's several texts, one stays; of rows without
+    doc_id those stay that are no copies. Null and word-less texts are no copies of each other."""
     return neardup.drop_near_duplicates(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. A hit document goes whole: what is left around a span of a test may still give its answer away. Rows without doc_id stay or go by
+    their text like others; null and empty texts stay."""
     return decontamination.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: repeated rows where a source is taken more than once, none where it isn't taken."""
-    docs = docs.select(*COLUMNS)
-    times = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "times").groupBy("_id").agg(F.max("times").alias("times"))
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).where("times > 0")
-    return taken.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Documents as often as the mix takes them: repeated rows where a source is taken more than once, none where it isn't taken. Null texts have no words, the null source is a source, equal doc_ids
+    are taken alike."""
+    return mixing.taken(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each document, its place within it, and its size."""
+    """The shard of each document, its place within it, and its size. Repeated rows share a shard and have slots of their own; null doc_ids are one key, null texts are empty."""
     return sharding.op3_query(docs)
 
 
