@@ -9,7 +9,7 @@ A sub-key that one set alone has can't be part of a shared key; such sub-keys go
 in a table are joined to the table entry's smallest (a star, not all pairs), first in m tables, then, cluster by cluster, in all; the connected components of these
 stars, the candidate clusters, are where links can be.
 
-A cluster of up to `SMALL` sets is compared at once, by counting shared shingles. A larger one, in which most pairs may be far from any
+A cluster of up to `LARGE` sets is compared in pairs of blocks of at most `SMALL` sets, by counting shared shingles. A larger one, in which most pairs may be far from any
 link, is narrowed first, as often as that helps: its sets are dealt into blocks, each with the same few sets of the cluster
 as pivots. A set linked to a pivot joins its group. Of each set the prefix is taken, the |s| - ceil(percent / 100 * |s|) + 1 shingles that come first when
 shingles of fewer pivots come before those of more: linked sets share one of these, whatever the order, and in this one most sets share none. Only sets
@@ -33,8 +33,8 @@ from lodestone.llm.components import components
 from lodestone.llm.shared import cut, sized
 
 U = np.uint64
-#: Sets that are compared at once, the pivots of a larger cluster (in expectation), and shingles of a block.
-SMALL, PIVOTS, MOST_SHINGLES = 256, 24, 4_000_000
+#: Sets of a block, those of a cluster that is compared block by block at once, the pivots of a larger one (in expectation), and shingles of a block.
+SMALL, LARGE, PIVOTS, MOST_SHINGLES = 256, 4_096, 24, 4_000_000
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -222,7 +222,7 @@ def compared(docs: DataFrame, members: DataFrame, percent: int, width: int) -> D
 
     A cluster of up to 64 sets is one block, others have about 32, until blocks are full. A group that would fill blocks has blocks of its own, which aren't compared with each other.
     """
-    groups = cut(members.groupBy("cluster", "group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")))
+    groups = members.groupBy("cluster", "group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     full = lambda n, size: F.ceil(F.greatest(n / F.lit(SMALL), size / F.lit(MOST_SHINGLES)))
     large = groups.where(F.col("n") >= SMALL).select("cluster", "group", full(F.col("n"), F.col("size")).cast("int").alias("many"))
     rest = groups.where(F.col("n") < SMALL).groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
@@ -259,9 +259,12 @@ def compared(docs: DataFrame, members: DataFrame, percent: int, width: int) -> D
 def confirmed_links(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b): links that connect all that are linked within each cluster. members: (id, node, n_shingles, cluster); a node is one text's set, and the first half of its digest."""
     wait, before, done, found = members.withColumn("group", F.col("id")), None, None, []
+    largest = members.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= LARGE:
+        return compared(docs, wait, percent, width)
     for seed in itertools.count():  # what goes on is at most half as large, so the rounds are few
         now = cut(wait.join(wait.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"))
-        again = F.col("n") > SMALL if before is None else (F.col("n") > SMALL) & (2 * F.col("n") <= before)
+        again = F.col("n") > LARGE if before is None else (F.col("n") > LARGE) & (2 * F.col("n") <= before)
         # a cluster is numbered by its round too; that two fall together costs comparisons, nothing else
         part = now.where(~again).select("id", "node", "n_shingles", F.xxhash64(F.lit(seed), "cluster").alias("cluster"), "group")
         done = part if done is None else done.unionByName(part)

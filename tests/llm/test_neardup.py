@@ -78,6 +78,7 @@ def mixed_cluster(rng):
 @pytest.mark.parametrize("small", [100])
 def test_large_clusters_are_narrowed_without_loss(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "LARGE", 150)
     rng = np.random.default_rng(3)
     rows = list(enumerate(mixed_cluster(rng)))
     want = brute(rows)
