@@ -13,6 +13,21 @@ class VaultError(RuntimeError):
     code = 1
 
 
+#: The reasons that results carry in `error`, which callers read.
+SAID = {
+    "not readable": "not readable",
+    "no changes": "Edit produced no changes",
+    "not found": "replace text was not found",
+    "no match": "regex did not match",
+    "matched": "{} matched ",
+    "times": " times; pass all to replace all",
+    "line": "line {} is beyond end of file (",
+    "range": "range end {} is beyond end of file (",
+    "file": "Refusing to overwrite existing file: ",
+    "path": "Refusing to overwrite existing path: ",
+}
+
+
 def positive(value: object, name: str) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or not 0 < value < 2**53:
         raise UsageError(f"{name} must be a positive integer")

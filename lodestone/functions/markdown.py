@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import stem, trim
+from lodestone.functions.text import let, stem, trim
 
 #: Fixed patterns. A tag follows the text's start, white space or one of ( [ > {.
 TAG = r"(^|[\s(\[>{])#([\p{L}\p{N}_/-]+)"
@@ -22,24 +22,30 @@ def closing_line(lines: Column) -> Column:
     return F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: trim(x).isin("---", "...")), True).cast("int")
 
 
-def frontmatter_split(content: Column) -> tuple[Column, Column]:
-    """The lines of a frontmatter block (LF between them), null if there is none; and the body.
+def frontmatter_split(content: Column) -> Column:
+    """(yaml, body): the lines of a frontmatter block (LF between them), '' if there is none; and the body.
 
     A block opens with `---` and a line end at the very start and ends with a line that is `---` or `...` but for white space.
     The body after a block has LF line ends; without a block it is the whole content.
     """
-    lines = all_lines(content)
-    closer = F.when(content.startswith("---\n") | content.startswith("---\r\n"), closing_line(lines)).otherwise(F.lit(0))
-    yaml = F.when(closer > 0, F.array_join(F.slice(lines, 2, F.greatest(closer - 1, F.lit(0))), "\n"))
-    body = F.when(closer > 0, F.array_join(F.slice(lines, closer + 2, F.size(lines)), "\n")).otherwise(content)
-    return yaml, body
+    whole = F.struct(F.lit("").alias("yaml"), content.alias("body"))
+
+    def cut(lines: Column, closer: Column) -> Column:
+        yaml, body = F.slice(lines, 2, F.greatest(closer - 1, F.lit(0))), F.slice(lines, closer + 2, F.size(lines))
+        return F.when(closer > 0, F.struct(F.array_join(yaml, "\n").alias("yaml"), F.array_join(body, "\n").alias("body"))).otherwise(whole)
+
+    opened = content.startswith("---\n") | content.startswith("---\r\n")
+    return F.when(opened, let(all_lines(content), lambda lines: let(closing_line(lines), lambda closer: cut(lines, closer)))).otherwise(whole)
 
 
 def unquoted(c: Column) -> Column:
     """Trimmed, without a pair of equal quotes around it."""
-    c = trim(c)
-    paired = (c.startswith('"') & c.endswith('"')) | (c.startswith("'") & c.endswith("'"))
-    return F.when(paired, trim(F.substring(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0))))).otherwise(c)
+
+    def bare(c: Column) -> Column:
+        paired = (c.startswith('"') & c.endswith('"')) | (c.startswith("'") & c.endswith("'"))
+        return F.when(paired, trim(F.substring(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0))))).otherwise(c)
+
+    return let(trim(c), bare)
 
 
 def tag_of(c: Column) -> Column:
@@ -55,14 +61,16 @@ def _listed(yaml: Column, keys: str, item: object) -> Column:
     pattern = rf"(?im)^(?:{keys}):[ \t]*(.*)((?:\n[ \t]+-[ \t]+.*)*)"
     inline, block = F.regexp_extract_all(yaml, F.lit(pattern), 1), F.regexp_extract_all(yaml, F.lit(pattern), 2)
 
-    def values(raw: Column, items: Column) -> Column:
-        raw = trim(raw)
+    def split(raw: Column) -> Column:
         bare = F.when(raw.startswith("[") & raw.endswith("]"), F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))).otherwise(raw)
-        own = F.filter(F.transform(F.split(bare, ","), unquoted), lambda x: x != "")
+        return F.filter(F.transform(F.split(bare, ","), unquoted), lambda x: x != "")
+
+    def values(raw: Column, items: Column) -> Column:
         below = F.transform(F.filter(F.split(items, "\n"), lambda x: x != ""), lambda x: F.regexp_replace(x, r"^\s+-\s+", ""))
-        return F.transform(F.when(items != "", below).otherwise(own), item)
+        return F.transform(F.when(items != "", below).otherwise(let(trim(raw), split)), item)
 
-    return _some(F.flatten(F.zip_with(inline, block, values)))
+    found = _some(F.flatten(F.zip_with(inline, block, values)))
+    return F.when(yaml == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def headings(body: Column) -> Column:
@@ -84,12 +92,16 @@ def parse_notes(files: DataFrame, path: str = "path", content: str = "content")
 
     title is the last one that frontmatter gives, else the first heading of level 1, else the file's name.
     """
-    yaml, body = frontmatter_split(F.col("content"))
     at = files.select(F.col(path).alias("path"), F.col(content).alias("content")).where(F.col("content").isNotNull())
-    at = at.select("path", "content", F.coalesce(yaml, F.lit("")).alias("_yaml"), body.alias("body"))
-    given = F.filter(F.transform(F.regexp_extract_all("_yaml", F.lit(r"(?im)^title:[ \t]*(.*)"), 1), trim), lambda x: x != "")
-    at = at.select("path", "content", "_yaml", "body", headings(F.col("body")).alias("_headings"), F.when(F.size(given) > 0, unquoted(F.get(given, F.size(given) - 1))).alias("_given"))
-    h1 = F.get(F.filter("_headings", lambda x: x["level"] == 1), F.lit(0))["text"]
+    titles = F.filter(F.transform(F.regexp_extract_all("_yaml", F.lit(r"(?im)^title:[ \t]*(.*)"), 1), trim), lambda x: x != "")
+    given = F.when(F.col("_yaml") == "", F.lit(None).cast("string")).otherwise(let(titles, lambda t: F.when(F.size(t) > 0, unquoted(F.element_at(t, -1)))))
+    at = at.select("path", "content", let(frontmatter_split(F.col("content")), lambda d: d).alias("_parts")).select("path", "content", F.col("_parts.yaml").alias("_yaml"), F.col("_parts.body").alias("body"))
     tags = F.array_distinct(F.concat(_listed(F.col("_yaml"), "tags", tag_of), inline_tags(F.col("body"))))
-    title = F.coalesce(F.nullif(F.col("_given"), F.lit("")), F.nullif(h1, F.lit("")), file_title(F.col("path")))
-    return at.select("path", title.alias("title"), _listed(F.col("_yaml"), "aliases|alias", unquoted).alias("aliases"), tags.alias("tags"), F.col("_headings.text").alias("headings"), "body", "content")
+
+    def named(heads: Column) -> Column:
+        h1 = F.get(F.filter(heads, lambda x: x["level"] == 1), F.lit(0))["text"]
+        title = F.coalesce(F.nullif(given, F.lit("")), F.nullif(h1, F.lit("")), file_title(F.col("path")))
+        return F.struct(title.alias("title"), F.transform(heads, lambda h: h["text"]).alias("headings"))
+
+    at = at.select("path", let(headings(F.col("body")), named).alias("_named"), _listed(F.col("_yaml"), "aliases|alias", unquoted).alias("aliases"), tags.alias("tags"), "body", "content")
+    return at.select("path", F.col("_named.title").alias("title"), "aliases", "tags", F.col("_named.headings").alias("headings"), "body", "content")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of any script, as regular expressions of Java and RE2 both have it.
+#: White space of any script, as regular expressions of Java and RE2 both have it, and the same one by one.
 SPACE = r"[\s\p{Z}\x{FEFF}]"
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _col(c: Column | str) -> Column:
@@ -15,14 +18,20 @@ def _col(c: Column | str) -> Column:
 
 def trim(c: Column | str) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(c), F.lit(SPACES))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which the value is worked out once however often it is named. The optimizer copies named columns into the expressions that use them, but not what a lambda is given."""
+    return F.transform(F.array(value), use)[0]
 
 
 def lines_of(text: Column | str) -> Column:
     """An array of lines; LF and CRLF end lines, an empty text has none, and an end of line at the end opens no further one."""
     text = _col(text)
     parts = F.split(text, "\r?\n", -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    some = let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(some)
 
 
 def eol_of(text: Column | str) -> Column:
@@ -97,14 +106,12 @@ def diff(label: Column | str, before: Column | str, after: Column | str, context
     Where the new lines are more than the old ones, as many more lines of context follow.
     """
     before, after = _col(before), _col(after)
-    a, b = lines_of(before), lines_of(after)
 
     def common(x: Column, y: Column) -> Column:
         same = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
-        return F.when(same == 0, F.greatest(F.size(x), F.size(y))).otherwise(same - 1).cast("int")
+        return let(same, lambda at: F.when(at == 0, F.least(F.size(x), F.size(y))).otherwise(at - 1).cast("int"))
 
-    def hunk(d: Column) -> Column:
-        x, y, head, tail = d["a"], d["b"], d["head"], d["tail"]
+    def hunk(x: Column, y: Column, head: Column, tail: Column) -> Column:
         n, m = F.size(x) - tail, F.size(y) - tail  # where the differing lines end
         start = F.greatest(F.lit(0), head - context)
         said = F.concat(
@@ -116,8 +123,10 @@ def diff(label: Column | str, before: Column | str, after: Column | str, context
         )
         return F.array_join(said, "\n")
 
-    head = F.least(common(a, b), F.size(a), F.size(b))
-    tail = F.least(common(F.reverse(a), F.reverse(b)), F.size(a) - head, F.size(b) - head)
-    # held in a one-element array, so that each part is worked out once
-    held = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), head.alias("head"), tail.alias("tail"))), hunk)
-    return F.when(before == after, F.lit("")).otherwise(held[0])
+    def tails(d: Column, head: Column) -> Column:
+        x, y = d["a"], d["b"]
+        back = F.least(common(F.reverse(x), F.reverse(y)), F.size(x) - head, F.size(y) - head)
+        return let(back, lambda tail: hunk(x, y, head, tail))
+
+    both = F.struct(lines_of(before).alias("a"), lines_of(after).alias("b"))
+    return F.when(before == after, F.lit("")).otherwise(let(both, lambda d: let(common(d["a"], d["b"]), lambda head: tails(d, head))))

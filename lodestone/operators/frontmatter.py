@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +26,9 @@ except ImportError:  # the other operators don't need it
     yaml = None
 
 
+@lru_cache(1)
 def _schema() -> tuple[type, type]:
-    """A loader and a dumper of the core schema."""
+    """A loader and a dumper of the core schema, made once; the loader in C where PyYAML has it."""
     if yaml is None:
         raise UsageError("frontmatter needs PyYAML")
     rules = [
@@ -35,7 +37,7 @@ def _schema() -> tuple[type, type]:
         ("tag:yaml.org,2002:int", r"^(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)$", list("-+0123456789")),
         ("tag:yaml.org,2002:float", r"^(?:[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$", list("-+.0123456789")),
     ]
-    loader, dumper = type("Loader", (yaml.SafeLoader,), {}), type("Dumper", (yaml.SafeDumper,), {"increase_indent": lambda self, flow=False, indentless=False: yaml.SafeDumper.increase_indent(self, flow, False)})
+    loader, dumper = type("Loader", (getattr(yaml, "CSafeLoader", yaml.SafeLoader),), {}), type("Dumper", (yaml.SafeDumper,), {"increase_indent": lambda self, flow=False, indentless=False: yaml.SafeDumper.increase_indent(self, flow, False)})
     for kind in (loader, dumper):
         kind.yaml_implicit_resolvers = {}
         for tag, pattern, firsts in rules:
@@ -99,8 +101,8 @@ class Block:
 
     def _unique(self, node: object) -> None:
         if isinstance(node, yaml.MappingNode):
-            names = [k.value for k, _ in node.value]
-            if len(set(names)) < len(names) or any(not isinstance(k, yaml.ScalarNode) for k, _ in node.value):
+            names = [k.value if isinstance(k, yaml.ScalarNode) else None for k, _ in node.value]
+            if None in names or len(set(names)) < len(names):
                 raise UsageError("Invalid frontmatter YAML: keys must be unique strings")
             for _, v in node.value:
                 self._unique(v)

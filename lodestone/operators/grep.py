@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.errors import UsageError, not_negative, positive
+from lodestone.errors import not_negative, positive
+from lodestone.functions.patterns import checked_pattern
 from lodestone.functions.text import lines_of, walk_key, within
 
 
 def matcher(query: str, regex: bool = False, case_sensitive: bool = False) -> object:
     """A condition on a line. Patterns are unanchored."""
     if regex:
-        try:
-            re.compile(query)
-        except re.error as error:
-            raise UsageError(f"Invalid regex: {error}") from None
-        pattern = query if case_sensitive else f"(?i){query}"
+        pattern = checked_pattern(query, not case_sensitive)
         return lambda line: line.rlike(pattern)
     return (lambda line: line.contains(query)) if case_sensitive else (lambda line: F.lower(line).contains(query.lower()))
 

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.errors import VaultError
 from lodestone.functions.markdown import parse_notes
 
 #: Fields, and how much a hit in each weighs in the full-text score (fixed values).
 BOOSTS = {"title": 8.0, "tags": 7.0, "aliases": 6.0, "headings": 4.0, "path": 2.0, "body": 1.0}
 TOKEN = r"[\p{L}\p{N}]+"
-VERSION = 1
+VERSION = 2
+#: The end of a marker file's name, and changed paths that are broadcast.
+MARK, FEW = ".whole", 200_000
 #: Of the stored tables, so that empty ones can be read.
 SCHEMAS = {
     "docs": "path string, title string, aliases array<string>, tags array<string>, headings array<string>, body string, content string",
     "postings": "path string, token string, tf long, len long, field string",
-    "stats": "field string, n long, avg_len double",
     "manifest": "path string, mtime_ms double, size long",
-    "meta": "version int, built_at timestamp, documents long",
 }
 
 
@@ -71,60 +74,134 @@ def cache_key(root: str) -> str:
     return hashlib.sha256(root.encode()).hexdigest()[:16]
 
 
+#: Commits from which on, or share of rows replaced above which, a refresh writes the whole index anew.
+COMMITS, REPLACED = 16, 0.3
+
+
 @dataclass
 class Index:
-    """Tables of one build below a folder: docs, postings (partitioned by field, so that a search of some fields reads those alone), stats, manifest, meta."""
+    """An index as commits below a folder: a base, and what changed since.
+
+    A commit has docs (by path), postings (by field and token, so that a search reads few row groups), sums of field lengths, the manifest's new rows and `gone`, the paths of earlier commits
+    that it replaces or deletes. It counts once its marker file is there, which is made last and at once; a reader takes the last base with a marker and the marked commits after it, so it
+    never sees half of one. Commits that the newest base has made useless go with the next base but one.
+    """
 
     spark: SparkSession
     where: str
 
+    def _store(self) -> tuple[object, object]:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.where)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), sc._jvm.org.apache.hadoop.fs.Path
+
+    def commits(self) -> list[str]:
+        """The names of the last whole base and the whole commits after it; [] if there is none of this version."""
+        store, path = self._store()
+        if not store.exists(path(self.where)):
+            return []
+        names = sorted(s.getPath().getName() for s in store.listStatus(path(self.where)))
+        marked = [n.removesuffix(MARK) for n in names if n.endswith(MARK)]
+        bases = [k for k, n in enumerate(marked) if n.endswith("base")]
+        return marked[bases[-1] :] if bases else []
+
     def build(self, files: DataFrame) -> None:
         """files: (path, mtime_ms, size, content as text; null if unreadable)."""
-        self._write(parse_notes(files).drop("content").join(files.select("path", "content"), "path"), manifest(files))
-
-    def _write(self, docs: DataFrame, files: DataFrame) -> None:
-        docs.write.mode("overwrite").parquet(f"{self.where}/docs")
-        own = self.table("docs")
-        postings(own).write.mode("overwrite").partitionBy("field").parquet(f"{self.where}/postings")
-        field_stats(own).write.mode("overwrite").parquet(f"{self.where}/stats")
-        files.write.mode("overwrite").parquet(f"{self.where}/manifest")
-        self.spark.range(1).select(F.lit(VERSION).alias("version"), F.current_timestamp().alias("built_at"), F.lit(own.count()).alias("documents")).write.mode("overwrite").parquet(f"{self.where}/meta")
+        self._commit("base", parse_notes(files), manifest(files), None)
+
+    def _commit(self, kind: str, notes: DataFrame, files: DataFrame, gone: DataFrame | None) -> None:
+        store, path = self._store()
+        name = f"v{VERSION}-{time.time_ns():020d}-{kind}"
+        at = f"{self.where}/{name}"
+        notes.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{at}/docs")
+        own = self.spark.read.schema(SCHEMAS["docs"]).parquet(f"{at}/docs")
+        postings(own).repartitionByRange("field", "token").sortWithinPartitions("field", "token", "path").write.partitionBy("field").parquet(f"{at}/postings")
+        sums = _field_sums(own)
+        if gone is not None:
+            gone.write.parquet(f"{at}/gone")
+            old = self.table("docs").join(self.spark.read.schema("path string").parquet(f"{at}/gone"), "path", "left_semi")
+            sums = sums.unionByName(_field_sums(old).select("field", (-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens")))
+        sums.coalesce(1).write.parquet(f"{at}/sums")
+        files.write.parquet(f"{at}/manifest")
+        before = self.commits()
+        store.create(path(f"{at}{MARK}"), False).close()
+        if kind == "base":
+            for old_name in sorted(s.getPath().getName() for s in store.listStatus(path(self.where))):
+                bare = old_name.removesuffix(MARK)
+                if bare < (before[0] if before else name) and bare.startswith("v"):  # readers may still have the base before this one open
+                    store.delete(path(f"{self.where}/{old_name}"), True)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.where}/{name}")
+        """docs, postings, stats or manifest as they are now."""
+        commits = self.commits()
+        if not commits:
+            raise VaultError(f"no index at {self.where}")
+        read = lambda part, k, schema: self.spark.read.schema(schema).parquet(f"{self.where}/{commits[k]}/{part}")
+        every = range(len(commits))
+        if name == "stats":
+            sums = reduce(DataFrame.unionByName, [read("sums", k, "field string, n long, tokens long") for k in every])
+            return sums.groupBy("field").agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avg_len"))
+        if len(commits) == 1:
+            return read(name, 0, SCHEMAS[name])
+        rows = reduce(DataFrame.unionByName, [read(name, k, SCHEMAS[name]).withColumn("_at", F.lit(k)) for k in every])
+        gone = reduce(DataFrame.unionByName, [read("gone", k, "path string").withColumn("_by", F.lit(k)) for k in every[1:]])
+        last = gone.groupBy(F.col("path").alias("_path")).agg(F.max("_by").alias("_by"))
+        return rows.join(last, (F.col("path") == F.col("_path")) & (F.col("_at") < F.col("_by")), "left_anti").drop("_at")
 
     def ready(self) -> bool:
         """Whether a whole build of this version is there; it may be stale."""
-        try:
-            return self.table("meta").where(F.col("version") == VERSION).count() == 1 and self.table("stats").limit(1).count() >= 0 and self.table("postings").limit(1).count() >= 0 and self.table("docs").limit(1).count() >= 0
-        except Exception:  # noqa: BLE001  whatever keeps it from being read
-            return False
+        return any(c.startswith(f"v{VERSION}-") for c in self.commits()[:1])
 
-    def refresh(self, files: DataFrame) -> str:
-        """Brings the index up to date: 'fresh', 'merged', or 'rebuilt' if it was missing, of another version or broken.
+    def refresh(self, files: DataFrame, listing: DataFrame | None = None) -> str:
+        """Brings the index up to date: 'fresh', 'merged', or 'rebuilt' if it was missing or of another version.
 
-        Only files that are new or changed are parsed. The merged tables are written beside the old ones and then take their place.
+        Only files that are new or changed are parsed, and only they are written. listing: (path, mtime_ms, size) where files would have to be opened for these.
         """
         if not self.ready():
             self.build(files)
             return "rebuilt"
+        now = manifest(files if listing is None else listing)
+        return self.apply(manifest_diff(self.table("manifest"), now), now, files)
+
+    def apply(self, changes: DataFrame, now: DataFrame, files: DataFrame) -> str:
+        """Adds (path, change) as a commit: 'merged', or 'fresh' if there is none. now: at least the manifest rows of added and changed paths; files: their content."""
+        changes = changes.persist()
         try:
-            changes = manifest_diff(self.table("manifest"), manifest(files)).persist()
-            if not changes.limit(1).count():
-                changes.unpersist()
+            counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
+            if not counts:
                 return "fresh"
-            wanted = files.join(changes.where(F.col("change") != "deleted").select("path"), "path", "left_semi")
-            fresh = parse_notes(wanted).drop("content").join(wanted.select("path", "content"), "path")
-            merged = merge(self.table("docs"), changes, fresh)
-            merged.write.mode("overwrite").parquet(f"{self.where}/next")
-            self._write(self.spark.read.schema(SCHEMAS["docs"]).parquet(f"{self.where}/next"), manifest(files))
-            changes.unpersist()
+            new = changes.where(F.col("change") != "deleted").select("path")
+            if counts.get("added", 0) + counts.get("changed", 0) <= FEW:
+                new = F.broadcast(new)
+            parsed = parse_notes(files.join(new, "path", "left_semi"))
+            gone = changes.where(F.col("change") != "added").select("path")
+            self._commit("more", parsed, now.join(new, "path", "left_semi"), gone)
+            if len(self.commits()) > COMMITS or sum(counts.values()) > REPLACED * max(1, self.table("manifest").count()):
+                self.compact()
             return "merged"
-        except Exception:  # noqa: BLE001  any failure means building anew
-            self.build(files)
-            return "rebuilt"
+        finally:
+            changes.unpersist()
+
+    def compact(self) -> None:
+        """One base of what the commits say."""
+        self._commit("base", self.table("docs"), self.table("manifest"), None)
+
+    def search(self, query: str | None = None, **how: object) -> DataFrame:
+        """`search` over the stored tables. The pool's paths, max(10 * limit, 50) at most, come to the driver, so that of docs, which are sorted by path, few row groups are read."""
+        from lodestone.operators.search import pool_of, search
+
+        docs, post, stats = self.table("docs"), self.table("postings"), self.table("stats")
+        paths = pool_of(post, stats, query, **{k: v for k, v in how.items() if k in ("tags", "fields", "limit")}) if query is not None and not how.get("prefilter") else None
+        if paths is not None:
+            docs = docs.where(F.col("path").isin(paths)) if paths else docs.limit(0)
+        return search(docs, query, post=post, stats=stats, **how)
 
     def clear(self) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.where)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = self._store()
+        store.delete(path(self.where), True)
+
+
+def _field_sums(docs: DataFrame) -> DataFrame:
+    """(field, n, tokens): notes and tokens of each field."""
+    lengths = field_texts(docs).select("field", F.regexp_count(F.lower("value"), F.lit(TOKEN)).alias("len"))
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens"))

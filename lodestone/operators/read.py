@@ -20,7 +20,7 @@ def read(files: DataFrame, lines: tuple[int, int] | None = None, head: int | Non
     max_chars on their own; truncated tells about the numbered one.
     """
     if sum(x is not None for x in (lines, head, tail, around)) > 1:
-        raise UsageError("Use only one of lines=, head=, tail=, or around=")
+        raise UsageError("lines, head, tail and around exclude each other")
     not_negative(context, "context")
     positive(max_chars, "max_chars")
     at = files.select("path", lines_of("content").alias("all")).where(F.col("all").isNotNull()).withColumn("total", F.size("all"))

@@ -57,19 +57,19 @@ def checked(query: str | None = None, tags: list[str] | None = None, fields: lis
     positive(limit, "limit")
     text = query.strip() if query is not None else None
     if query is not None and not text:
-        raise UsageError("query must not be empty")
+        raise UsageError("an empty query finds nothing")
     if tags is not None:
         tags = list(dict.fromkeys(t for t in (x.lstrip("#").strip().lower() for x in tags) if t))
         if not tags:
-            raise UsageError("tag must include at least one non-empty tag")
+            raise UsageError("tags without any name")
     if fields is not None:
         fields = list(dict.fromkeys(f for f in (x.strip().lower() for x in fields) if f))
         if not fields or any(f not in BOOSTS for f in fields):
-            raise UsageError(f"field must be one of: {', '.join(BOOSTS)}")
+            raise UsageError(f"fields are {', '.join(BOOSTS)}")
         if not text:
-            raise UsageError("field=<field> requires query=<text>")
+            raise UsageError("fields restrict a query, and there is none")
     if not text and not tags:
-        raise UsageError("search requires query=<text> or tag=<tag>")
+        raise UsageError("a query or tags are needed")
     return Query(text, tuple(tags) if tags else None, tuple(fields or BOOSTS), limit)
 
 
@@ -89,6 +89,12 @@ def bm25(post: DataFrame, stats: DataFrame, tokens: list[str], fields: tuple[str
     return both.select("path", (boost * idf * norm).alias("part")).groupBy("path").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def pool_of(post: DataFrame, stats: DataFrame, query: str, tags: list[str] | None = None, fields: list[str] | None = None, limit: int = 10) -> list[str]:
+    """The paths of the best notes by their base score, at most the pool's number."""
+    q = checked(query, tags, fields, limit)
+    return [r["path"] for r in bm25(post, stats, q.tokens, q.fields).orderBy(F.desc("score"), "path").limit(q.pool).collect()]
+
+
 def has_tags(tags: Column, wanted: tuple[str, ...] | None) -> Column:
     """Whether all wanted tags are there, whatever their case."""
     if not wanted:

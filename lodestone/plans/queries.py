@@ -14,6 +14,7 @@ from lodestone.operators.grep import grep
 from lodestone.operators.read import read
 from lodestone.operators.render import render_changes, render_grep, render_read, render_search
 from lodestone.operators.search import bm25, checked, features, has_tags, search
+from lodestone.sources.folders import stored, work_dir
 from lodestone.sources.notes import PATH, notes
 from lodestone.sources.patches import apply_patch
 
@@ -21,13 +22,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Parameters of the registered queries.
 SEARCH = "alpha checklist en"
+#: {n} is the path of the note of document n.
 PATCH = """*** Begin Patch
 *** Add File: added/note.md
 +# New
 +Text with $HOME and `code`
-*** Update File: src0/{lang}/doc_0000000000.md
+*** Update File: {0}
 @@
 +appended at the end
+*** Update File: {1}
+*** Move to: moved/one.md
+@@
+ ---
+-title: "Note 1 of {source}"
++title: Moved
+*** Delete File: {5}
+*** Update File: {2}
+@@
+-no such line
++anything
+*** Add File: added/never.md
++since the one before failed
 *** End Patch"""
 
 
@@ -49,8 +64,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed notes that a query reads several times, parsed once."""
-    return docs(spark, sf_dir).persist()
+    """Parsed notes that a query reads several times, parsed once and written as a table."""
+    return stored(docs(spark, sf_dir), "notes")
 
 
 def joined(c: Column | str) -> Column:
@@ -101,7 +116,7 @@ def tag_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(docs(spark, sf_dir), tags=["project", "en"]).select("path", "title", joined("tags").alias("tags"), numbered_lines("snippets").alias("snippets"))
+    return search(docs_kept(spark, sf_dir), tags=["project", "en"]).select("path", "title", joined("tags").alias("tags"), numbered_lines("snippets").alias("snippets"))
 
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +128,7 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(fields: tuple[str, ...], limit: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = docs_kept(spark, sf_dir)
+        own = docs_kept(spark, sf_dir) if len(fields) > 1 else stored(docs(spark, sf_dir).select("path", *fields), "fields")
         scored = bm25(index.postings(own, list(fields)), index.field_stats(own, list(fields)), checked(SEARCH).tokens, fields)
         return scored.orderBy(F.desc("score"), "path").limit(limit)
 
@@ -131,13 +146,22 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(docs(spark, sf_dir), checked(SEARCH)).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _found(found: DataFrame) -> DataFrame:
+    whole = [F.col(c).cast("long").alias(c) for c in ("position", "bucket", "base_rank")]
+    return found.select("path", "title", *whole, joined("tags").alias("tags"), numbered_lines("snippets").alias("snippets"), "score", F.round("rrf", 6).alias("rrf"))
+
+
 def _search(**how: object) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search(docs_kept(spark, sf_dir), SEARCH, explain=True, **how)
-        whole = [F.col(c).cast("long").alias(c) for c in ("position", "bucket", "base_rank")]
-        return found.select("path", "title", *whole, joined("tags").alias("tags"), numbered_lines("snippets").alias("snippets"), "score", F.round("rrf", 6).alias("rrf"))
+    return lambda spark, sf_dir: _found(search(docs_kept(spark, sf_dir), SEARCH, explain=True, **how))
 
-    return run
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of the first of two states, brought to the second by what differs, and searched."""
+    old, new = snapshots(spark, sf_dir)
+    own = index.Index(spark, work_dir(spark, "index"))
+    own.build(old)
+    own.refresh(new)
+    return _found(own.search(SEARCH, explain=True))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +201,8 @@ def copy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frontmatter(function: Callable[..., DataFrame], *args: object) -> Query:
-    return lambda spark, sf_dir: function(note_files(spark, sf_dir), *args).select("code", "path", "after", "diff", "error")
+    """Reasons without what the YAML library says."""
+    return lambda spark, sf_dir: function(note_files(spark, sf_dir), *args).select("code", "path", "after", "diff", F.substring_index("error", ":", 1).alias("error"))
 
 
 def frontmatter_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,9 +210,17 @@ def frontmatter_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = note_files(spark, sf_dir)
-    first = files.select("path").where(F.col("path").endswith("doc_0000000000.md")).first()
-    return apply_patch(files, PATCH.replace("src0/{lang}/doc_0000000000.md", first["path"] if first else "none.md"))
+    own = table(spark, sf_dir, "documents").where(F.col("doc_id").isin(0, 1, 2, 5)).selectExpr("doc_id", f"{PATH} AS path", "source").collect()  # the four that the patch names
+    said = PATCH.replace("{source}", next(r["source"] for r in own if r["doc_id"] == 1))
+    for r in own:
+        said = said.replace(f"{{{r['doc_id']}}}", r["path"])
+    return apply_patch(note_files(spark, sf_dir), said).select("seq", "code", "path", "from_path", "before", "after", "diff", F.col("error").isNotNull().alias("failed"))
+
+
+def regex_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An escaped $ and one that is the very end, in texts of which some end in a line break."""
+    files = table(spark, sf_dir, "documents").selectExpr(f"{PATH} AS path", "text || chr(10) || 'cost $' || CAST(doc_id AS STRING) || CASE doc_id % 3 WHEN 0 THEN '' ELSE chr(10) END AS content")
+    return edit.replace_regex(files, r"(cost \$\d+$|zzz$)", "$0 [END]").select("code", "path", F.md5(F.col("after").cast("binary")).alias("after_md5"), "error")
 
 
 def rendered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +255,7 @@ QUERIES: dict[str, Query] = {
     "grep_literal_case": _grep(texts, "The and", case_sensitive=True, limit=None),
     "grep_context": _grep(texts, "license", context=2, limit=None),
     "grep_regex": _grep(turns, "(the|of) [a-z]{3}[.,]", regex=True, limit=None),
+    "grep_regex_named": _grep(texts, r"(?<first>È[a-zéè]+) ", regex=True, limit=None),
     "grep_path_scope": _grep(note_files, "plan for", path="src3/en", limit=None),
     "read_head": _read(head=5),
     "read_tail": _read(tail=3),
@@ -252,14 +286,16 @@ QUERIES: dict[str, Query] = {
     "coverage_score": _features("coverage_terms", "coverage_score"),
     "rank_buckets": bucket_counts,
     "search_rrf": _search(),
-    "search_scoped": _search(path="src3", tags=["project"]),
+    "search_scoped": _search(path="src4", tags=["project"]),
     "search_field_restricted": _search(fields=["title", "path"]),
+    "index_search": index_search,
     "manifest_diff": manifest_diff,
     "index_merge": index_merge,
     "edit_replace_all": _edit(edit.replace, "the", "$& <the>", every=True),
     "edit_replace_once": _edit(edit.replace, "license", "LICENSE"),
     "edit_replace_first": _edit(edit.replace_first, "the", "$1"),
     "edit_regex": _edit(edit.replace_regex, "[aeiou]{3,}", "$0\\", every=True),
+    "edit_regex_end": regex_end,
     "edit_line": _edit(edit.replace_line, 2, "new second line"),
     "edit_range": _edit(edit.replace_range, 2, 3, "one\ntwo\n"),
     "simple_diff": simple_diff,

@@ -136,15 +136,18 @@ sn AS (SELECT *, CASE WHEN len(rest) > 0 THEN list_concat(heads[:1], rest)[:3] W
   WHEN len(list_filter(b, lambda s: {head})) > 0 THEN list_filter(b, lambda s: {head})[:1] ELSE list_filter(b, lambda s: {trim('s.text')} <> '')[:1] END AS snippets FROM sn3)"""
 
 
-def search(allowed: tuple[str, ...] = tuple(BOOSTS), keep: str = "true", limit: int = 10) -> str:
+FOUND = f"path, title, CAST(position AS BIGINT) AS position, CAST(bucket AS BIGINT) AS bucket, CAST(base_rank AS BIGINT) AS base_rank, array_to_string(tags, chr(10)) AS tags, {numbered_cells('snippets')} AS snippets, score, round(rrf, 6) AS rrf"
+
+
+def search(allowed: tuple[str, ...] = tuple(BOOSTS), keep: str = "true", limit: int = 10, files: str = NOTES, columns: str = FOUND) -> str:
     cover = "coverage_terms DESC, coverage_score DESC, base_rank, path"
-    return f"""WITH {docs()}, {fields(allowed)}, {bm25(allowed)},
+    return f"""WITH {docs(files)}, {fields(allowed)}, {bm25(allowed)},
 pool AS (SELECT * FROM scored ORDER BY score DESC, path LIMIT {checked(SEARCH, limit=limit).pool}),
 cand AS (SELECT docs.*, score, row_number() OVER (ORDER BY score DESC, path) AS base_rank FROM pool JOIN docs USING (path) WHERE {keep}), {features('cand', allowed)},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket = 0 ORDER BY exact_priority, base_rank, path) AS r0, row_number() OVER (PARTITION BY bucket = 1 ORDER BY phrase_priority, {cover}) AS r1, row_number() OVER (PARTITION BY bucket IN (1, 2) ORDER BY {cover}) AS r2 FROM feat),
 fused AS (SELECT *, 1.0::DOUBLE / (10 + base_rank) + CASE bucket WHEN 0 THEN 4.0::DOUBLE / (10 + r0) WHEN 1 THEN 3.0::DOUBLE / (10 + r1) + 2.0::DOUBLE / (10 + r2) WHEN 2 THEN 2.0::DOUBLE / (10 + r2) ELSE 0 END AS rrf FROM ranked),
 best AS (SELECT *, row_number() OVER (ORDER BY bucket, rrf DESC, path) AS position FROM fused ORDER BY bucket, rrf DESC, path LIMIT {limit}), {snippets(checked(SEARCH).terms)}
-SELECT path, title, CAST(position AS BIGINT) AS position, CAST(bucket AS BIGINT) AS bucket, CAST(base_rank AS BIGINT) AS base_rank, array_to_string(tags, chr(10)) AS tags, {numbered_cells('snippets')} AS snippets, score, round(rrf, 6) AS rrf FROM sn"""
+SELECT {columns} FROM sn"""
 
 
 SNAPS = f"""every_doc AS (SELECT {notes.PATH} AS path, text, lang, source, CAST(doc_id AS DOUBLE) AS mtime_ms FROM documents),
@@ -172,12 +175,62 @@ f AS (SELECT path, {lines('x')} AS a, {lines('y')} AS b FROM e),
 g AS (SELECT *, coalesce(list_min(list_filter(list_transform(a, lambda v, i: CASE WHEN v <> b[i] THEN i END), lambda v: v IS NOT NULL)), len(a) + 1) - 1 AS head, coalesce(list_max(list_filter(list_transform(a, lambda v, i: CASE WHEN v <> b[i] THEN i END), lambda v: v IS NOT NULL)), 0) AS n FROM f)
 SELECT path, array_to_string(list_concat(['--- ' || path, '+++ ' || path, '@@'], list_transform(a[greatest(1, head - 2):head], lambda v: ' ' || v), list_transform(a[head + 1:n], lambda v: '-' || v), list_transform(b[head + 1:n], lambda v: '+' || v), list_transform(a[n + 1:n + 3], lambda v: ' ' || v)), chr(10)) AS diff FROM g"""
 
+
+def diffed(source: str) -> str:
+    """CTEs `diffed` with a column diff, from (path, before, after, ...) of a CTE."""
+    first = lambda x, y: f"coalesce(list_min(list_filter(list_transform(range(1, least(len({x}), len({y})) + 1), lambda i: CASE WHEN {x}[i] <> {y}[i] THEN i END), lambda i: i IS NOT NULL)) - 1, least(len({x}), len({y})))"
+    return f"""d0 AS (SELECT *, {lines('before')} AS x, {lines('after')} AS y FROM {source}),
+d1 AS (SELECT *, {first('x', 'y')} AS head FROM d0),
+d2 AS (SELECT *, least({first('list_reverse(x)', 'list_reverse(y)')}, len(x) - head, len(y) - head) AS tail FROM d1),
+d3 AS (SELECT *, len(x) - tail AS n, len(y) - tail AS m FROM d2),
+diffed AS (SELECT *, CASE WHEN before = after THEN '' ELSE array_to_string(list_concat(['--- ' || path, '+++ ' || path, '@@'], list_transform(x[greatest(1, head - 2):head], lambda v: ' ' || v), list_transform(x[head + 1:n], lambda v: '-' || v),
+  list_transform(y[head + 1:m], lambda v: '+' || v), list_transform(x[n + 1:n + least(tail, least(3, tail) + greatest(0, m - n))], lambda v: ' ' || v)), chr(10)) END AS diff FROM d3)"""
+
+
+#: What the notes' template (see sources/notes.py) gives, by doc_id modulo 6: lines of frontmatter and body. A block of kind 2 isn't YAML, one of kind 3 never ends.
+BLOCKS = f"""{NOTES}, parts AS (SELECT {notes.PATH} AS path, doc_id % 6 AS kind, lang, source, doc_id, text,
+  CASE doc_id % 6 WHEN 1 THEN ['title: "Note ' || doc_id || ' of ' || source || '"'] WHEN 4 THEN ['Title:', 'title: Alpha checklist ' || lang] ELSE [] END AS head,
+  CASE doc_id % 6 WHEN 1 THEN ['tags:', '  - ' || lang, '  - ' || chr(39) || '#' || source || chr(39)] WHEN 4 THEN ['tags: project, ' || lang || ','] ELSE [] END AS tags,
+  CASE doc_id % 6 WHEN 1 THEN ['aliases:', '  - Project ' || lang] ELSE [] END AS rest,
+  CASE doc_id % 6 WHEN 1 THEN '# ' || {notes._HEAD} || chr(10) || chr(10) || text || chr(10) || chr(10) || '#' || lang || '/inline' || chr(10) WHEN 4 THEN text || ' (#Project) x#no ' || chr(10) END AS body FROM documents),
+f AS (SELECT parts.*, content, coalesce(body, content) AS own FROM parts JOIN files USING (path))"""
+
+
+def block(*lists: str) -> str:
+    whole = f"list_concat({', '.join(lists)})"
+    return f"'---' || chr(10) || CASE WHEN len({whole}) > 0 THEN array_to_string({whole}, chr(10)) || chr(10) ELSE '' END || '---' || chr(10) || own"
+
+
+def front(after: str, error: str = "NULL") -> str:
+    """Change sets of frontmatter: the text and the reason of notes whose block can be read."""
+    return f"""WITH {BLOCKS}, e AS (SELECT path, content AS before, CASE kind WHEN 2 THEN 'Invalid frontmatter YAML' WHEN 3 THEN 'Frontmatter opening delimiter has no closing delimiter' ELSE {error} END AS error, {after} AS new FROM f),
+g AS (SELECT path, before, error, CASE WHEN error IS NULL THEN new END AS after FROM e), {diffed('g')}
+SELECT 'M' AS code, path, after, CASE WHEN after IS NOT NULL THEN diff END AS diff, CAST(error AS VARCHAR) AS error FROM diffed"""
+
+
+NO_KEY, NO_LIST = "'Frontmatter key not found'", "'Frontmatter key is not a list'"
+FRONT = {
+    "frontmatter_read": f"""WITH {BLOCKS} SELECT path, CASE WHEN kind NOT IN (2, 3) THEN kind IN (1, 4) END AS has_frontmatter,
+  CASE kind WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 1 THEN '{{"aliases":["Project ' || lang || '"],"tags":["' || lang || '","#' || source || '"],"title":"Note ' || doc_id || ' of ' || source || '"}}'
+    WHEN 4 THEN '{{"Title":null,"tags":"project, ' || lang || ',","title":"Alpha checklist ' || lang || '"}}' ELSE '{{}}' END AS frontmatter, kind IN (2, 3) AS failed FROM f""",
+    "frontmatter_set": front(block("head", "tags", "rest", "['status:', '  state: active', '  n: 3']")),
+    "frontmatter_add": front(block("head", "CASE kind WHEN 1 THEN list_append(tags, '  - new tag') ELSE ['tags:', '  - new tag'] END", "rest"), f"CASE kind WHEN 4 THEN {NO_LIST} END"),
+    "frontmatter_remove": front(block("head", "list_filter(tags, lambda x: x <> '  - en')", "rest"), f"CASE WHEN kind = 4 THEN {NO_LIST} WHEN kind <> 1 THEN {NO_KEY} WHEN lang <> 'en' THEN 'Frontmatter list value not found for key' END"),
+    "frontmatter_delete": front(block("head", "rest"), f"CASE WHEN kind NOT IN (1, 4) THEN {NO_KEY} END"),
+}
+APPLIED = f"""WITH {BLOCKS}, h(seq, id) AS (VALUES (0, NULL), (1, 0), (2, 1), (3, 5), (4, 2), (5, NULL)),
+g AS (SELECT seq, CASE seq WHEN 0 THEN 'added/note.md' WHEN 2 THEN 'moved/one.md' WHEN 5 THEN 'added/never.md' ELSE path END AS path, CASE seq WHEN 2 THEN path END AS from_path, CASE seq WHEN 0 THEN '' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE content END AS before,
+  CASE seq WHEN 0 THEN '# New' || chr(10) || 'Text with $HOME and `code`' || chr(10) WHEN 1 THEN CASE WHEN ends_with(content, chr(10)) THEN content ELSE content || chr(10) END || 'appended at the end' || chr(10)
+    WHEN 2 THEN replace(content, 'title: "Note 1 of ' || source || '"', 'title: Moved') WHEN 3 THEN '' END AS after FROM h LEFT JOIN f ON f.doc_id = h.id), {diffed('g')}
+SELECT CAST(seq AS BIGINT) AS seq, ['A', 'M', 'M', 'D', 'M', 'A'][seq + 1] AS code, path, from_path, before, after, CASE WHEN seq IN (1, 2) THEN diff END AS diff, seq > 3 AS failed FROM diffed"""
+
 _D = f"WITH {docs()}"
 SQL: dict[str, str] = {
     "grep_literal": grep(FILES, "contains(lower({x}), 'license')", "ORDER BY string_split(path, '/'), i LIMIT 50"),
     "grep_literal_case": grep(FILES, "contains({x}, 'The and')"),
     "grep_context": grep(FILES, "contains(lower({x}), 'license')", context=2),
     "grep_regex": grep("files AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS path, text AS content FROM conversations)", "regexp_matches({x}, '(?i)(the|of) [a-z]{{3}}[.,]')"),
+    "grep_regex_named": grep(FILES, "regexp_matches({x}, '(?i)(?P<first>È[a-zéè]+) ')"),
     "grep_path_scope": grep(NOTES, "contains(lower({x}), 'plan for') AND starts_with(path, 'src3/en/')"),
     "read_head": read("1", "least(5, total)"),
     "read_tail": read("greatest(1, total - 2)", "total"),
@@ -208,14 +261,20 @@ SELECT path, i AS line, array_to_string(list_transform(c[greatest(i - 1, 1):i +
     "coverage_score": f"{_D}, {features()} SELECT path, CAST(coverage_terms AS BIGINT) AS coverage_terms, CAST(coverage_score AS BIGINT) AS coverage_score FROM feat",
     "rank_buckets": f"{_D}, {features()} SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n FROM feat GROUP BY 1",
     "search_rrf": search(),
-    "search_scoped": search(keep="(path = 'src3' OR starts_with(path, 'src3/')) AND list_has_all(list_transform(tags, lambda x: lower(x)), ['project'])"),
+    "search_scoped": search(keep="(path = 'src4' OR starts_with(path, 'src4/')) AND list_has_all(list_transform(tags, lambda x: lower(x)), ['project'])"),
     "search_field_restricted": search(("title", "path")),
+    "render_search": search(columns="CAST(position AS BIGINT) AS position, CAST(to_json({'path': path, 'title': title, 'tags': tags, 'snippets': snippets}) AS VARCHAR) AS rendered"),
+    "index_search": search(files=f"{SNAPS}, files AS (SELECT path, content FROM new)"),
+    **FRONT,
+    "apply_patch": APPLIED,
     "manifest_diff": f"WITH {SNAPS}, j AS (SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'deleted' WHEN old.size <> new.size OR old.mtime_ms <> new.mtime_ms THEN 'changed' END AS change FROM old FULL JOIN new ON old.path = new.path) SELECT path, change FROM j WHERE change IS NOT NULL",
     "index_merge": f"WITH {SNAPS}, {docs('files AS (SELECT path, content FROM new)')} SELECT path, title, array_to_string(tags, chr(10)) AS tags, md5(body) AS body_md5 FROM docs",
     "edit_replace_all": edit("replace(content, 'the', '$& <the>')", "CASE WHEN NOT contains(content, 'the') THEN 'replace text was not found' END"),
     "edit_replace_once": edit("replace(content, 'license', 'LICENSE')", f"CASE WHEN NOT contains(content, 'license') THEN 'replace text was not found' WHEN {COUNT.format('license', 7)} > 1 THEN 'replace text matched ' || CAST({COUNT.format('license', 7)} AS VARCHAR) || ' times; pass all to replace all' END"),
     "edit_replace_first": edit("CASE WHEN contains(content, 'the') THEN substr(content, 1, instr(content, 'the') - 1) || '$1' || substr(content, instr(content, 'the') + 3) ELSE content END", "CASE WHEN NOT contains(content, 'the') THEN 'replace text was not found' END"),
     "edit_regex": edit(r"regexp_replace(content, '[aeiou]{3,}', '$0\\', 'g')", "CASE WHEN NOT regexp_matches(content, '[aeiou]{3,}') THEN 'regex did not match' END"),
+    "edit_regex_end": f"""WITH files AS (SELECT {notes.PATH} AS path, text, doc_id % 3 = 0 AS hit FROM documents)
+SELECT 'M' AS code, path, CASE WHEN hit THEN md5(text || chr(10) || '$0 [END]') END AS after_md5, CASE WHEN NOT hit THEN 'regex did not match' END AS error FROM files""",
     "edit_line": edit(rejoined(f"list_transform({L}, lambda x, i: CASE WHEN i = 2 THEN 'new second line' ELSE x END)"), f"CASE WHEN len({L}) < 2 THEN 'line 2 is beyond end of file (' || CAST(len({L}) AS VARCHAR) || ')' END"),
     "edit_range": edit(rejoined(f"list_concat(({L})[:1], ['one', 'two'], ({L})[4:])"), f"CASE WHEN len({L}) < 3 THEN 'range end 3 is beyond end of file (' || CAST(len({L}) AS VARCHAR) || ')' END"),
     "simple_diff": DIFF,

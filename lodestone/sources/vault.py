@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestone.errors import UsageError
+from lodestone.errors import SAID, UsageError
 
 #: Fixed names of folders that hold no notes.
 SKIPPED = frozenset({".obsidian", ".git", ".trash", "node_modules"})
@@ -33,19 +33,19 @@ def is_note(name: str) -> bool:
 def resolve(root: str, path: str, must_exist: bool = False) -> tuple[str, str]:
     """The absolute path and that from the root, of a path that is under the root, links followed; so must be the nearest folder that exists of a new one."""
     if not path:
-        raise UsageError("path must not be empty")
+        raise UsageError("a path is needed")
     real = os.path.realpath(root)
     absolute = os.path.normpath(path if os.path.isabs(path) else os.path.join(os.path.abspath(root), path))
     under = lambda p, base: p == base or p.startswith(base.rstrip(os.sep) + os.sep)
     if not under(absolute, os.path.abspath(root)) and not under(absolute, real):
-        raise UsageError(f"Path is outside the vault: {path}")
+        raise UsageError(f"{path} is not below the folder of notes")
     if must_exist and not os.path.lexists(absolute):
-        raise UsageError(f"Path does not exist: {path}")
+        raise UsageError(f"there is no {path}")
     known = absolute
     while not os.path.exists(known) and os.path.dirname(known) != known:
         known = os.path.dirname(known)
     if not under(os.path.realpath(known), real):
-        raise UsageError(f"Path resolves outside the vault: {path}")
+        raise UsageError(f"{path} leads out of the folder of notes")
     base = os.path.abspath(root) if under(absolute, os.path.abspath(root)) else real
     return absolute, os.path.relpath(absolute, base).replace(os.sep, "/")
 
@@ -170,7 +170,7 @@ def make_folder(root: str, path: str, parents: bool = True, dry: bool = False) -
     if os.path.isdir(target):
         return []
     if os.path.exists(target):
-        raise UsageError(f"Path exists and is not a directory: {rel}")
+        raise UsageError(f"{rel} is a file")
     if not dry:
         os.makedirs(target) if parents else os.mkdir(target)
     return [("A", rel)]
@@ -181,12 +181,12 @@ def copy_path(root: str, source: str, to: str, recursive: bool = False, overwrit
     (a, a_rel), (b, b_rel) = resolve(root, source, must_exist=True), resolve(root, to)
     there = os.path.exists(b)
     if there and not overwrite:
-        raise UsageError(f"Refusing to overwrite existing path: {b_rel}")
+        raise UsageError(SAID["path"] + b_rel)
     if os.path.isdir(a):
         if not recursive:
-            raise UsageError("copy requires recursive for directories")
+            raise UsageError("a folder is copied with recursive alone")
         if b == a or b.startswith(a + os.sep):
-            raise UsageError("copy cannot copy a directory into itself")
+            raise UsageError("a folder can't be copied into itself")
     if not dry:
         os.makedirs(os.path.dirname(b), exist_ok=True)
         shutil.copytree(a, b, dirs_exist_ok=True, symlinks=True) if os.path.isdir(a) else shutil.copy2(a, b)

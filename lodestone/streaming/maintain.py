@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.index import Index
+from lodestone.operators.index import Index, manifest, manifest_diff
 
 
 def latest(files: DataFrame) -> DataFrame:
@@ -18,22 +18,20 @@ def latest(files: DataFrame) -> DataFrame:
 def maintain(stream: DataFrame, index: Index, checkpoint: str) -> StreamingQuery:
     """Merges each micro-batch of (path, mtime_ms, size, content) into the index; rows of null size are deletions.
 
-    A batch that comes again after a failure has no effect: what is newest wins, whatever it was before.
+    A batch writes its own notes alone. One that comes again after a failure changes nothing: its rows are in the manifest already.
     """
 
     def fold(batch: DataFrame, _: int) -> None:
         now = latest(batch).persist()
-        if index.ready():
-            docs = index.table("docs").join(index.table("manifest"), "path")
-            old = docs.select("path", "mtime_ms", "size", "content")
-            rest = old.join(now.select("path"), "path", "left_anti")
-            files = rest.unionByName(now.where("size is not null").select("path", "mtime_ms", "size", "content"))
-            files.write.mode("overwrite").parquet(f"{index.where}/next_files")
-            index.refresh(index.spark.read.parquet(f"{index.where}/next_files"))
-        else:
-            index.build(now.where("size is not null").select("path", "mtime_ms", "size", "content"))
-        now.unpersist()
+        try:
+            present = now.where("size is not null").select("path", "mtime_ms", "size", "content")
+            if not index.ready():
+                index.build(present)
+                return
+            # only the batch's paths are compared, so the rest of the index stays as it is
+            known = index.table("manifest").join(now.select("path"), "path", "left_semi")
+            index.apply(manifest_diff(known, manifest(present)), manifest(present), present)
+        finally:
+            now.unpersist()
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
