@@ -6,11 +6,12 @@ import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import VaultError
 from lodestone.functions.markdown import parse_notes
+from lodestone.functions.text import let
 
 #: Fields, and how much a hit in each weighs in the full-text score (fixed values).
 BOOSTS = {"title": 8.0, "tags": 7.0, "aliases": 6.0, "headings": 4.0, "path": 2.0, "body": 1.0}
@@ -34,14 +35,26 @@ def field_texts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return docs.select("path", F.explode(cells).alias("c")).select("path", "c.field", "c.value")
 
 
+def counted(tokens: Column) -> Column:
+    """(token, tf) of each different token, from an array of tokens: sorted, and cut where they change, within the row."""
+
+    def runs(s: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda at, k: F.struct(F.get(s, at).alias("token"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("long").alias("tf")))
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+    return let(F.sort_array(tokens), lambda s: let(starts(s), lambda at: runs(s, at)))
+
+
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(path, field, token, tf, len): tokens are lower-cased runs of letters and digits; len is the number of tokens of that field of the note.
 
-    A field's tokens are counted within its row first, so only different ones leave it.
+    A field's tokens are counted within its row, so nothing is shuffled. A path has one row in docs.
     """
     tokens = field_texts(docs, fields).select("path", "field", F.regexp_extract_all(F.lower("value"), F.lit(TOKEN), 0).alias("tokens"))
-    each = tokens.select("path", "field", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("token"))
-    return each.groupBy("path", "field", "token", "len").agg(F.count("*").alias("tf")).select("path", "field", "token", "tf", "len")
+    each = tokens.select("path", "field", F.size("tokens").cast("long").alias("len"), F.explode(counted(F.col("tokens"))).alias("c"))
+    return each.select("path", "field", "c.token", "c.tf", "len")
 
 
 def field_stats(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
