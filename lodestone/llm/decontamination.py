@@ -1,12 +1,9 @@
 """Operator 7: benchmark decontamination by an FM-index per training shard.
 
-A shard is a run of documents of some megabytes, as they come from a scan; nothing is shuffled. Its words become symbols; the
-FM-index over them has the Burrows-Wheeler transform in a wavelet tree (bit vectors with sampled rank counts) and every
-fourth suffix position, and those where stretches begin. All phrases are searched backwards at once; occurrences are located by walking to a sampled position;
-the spans they cover are merged for each document.
-
-Only stretches of a document that can be in an occurrence are indexed: where every two neighbouring words are neighbours
-in some phrase, for as long as the shortest phrase is. That loses nothing, since every other word is in no phrase.
+A shard is a run of documents of some megabytes, as they come from a scan; nothing is shuffled. All its words become symbols of the shard's own vocabulary, with a
+0 between documents; the FM-index over them has the Burrows-Wheeler transform in a wavelet tree (bit vectors with sampled rank counts) and every
+fourth suffix position, and those where documents begin. It knows nothing of the phrases, so it can be asked any. All phrases whose words the shard has are searched backwards
+at once; occurrences are located by walking to a sampled position; the spans they cover are merged for each document.
 
 Phrases come in blocks of at most `block_words` words, which the tasks hold one at a time: a single block of up to `BROADCAST_ROWS` windows goes
 with the code, others are written to the shared folder and read from there, so memory doesn't grow with the benchmark. The driver streams the benchmark's texts, block by block.
@@ -161,13 +158,6 @@ class Phrases:
             own = np.flatnonzero(self.lengths == n)
             self.table[own, width - n :] = ids[first[own][:, None] + np.arange(n)]
         self.items = [windows[k] for k in keys]
-        inner = np.ones(len(flat), bool)
-        inner[first[1:] - 1] = False
-        at = np.flatnonzero(inner)
-        self.pairs = np.unique(ids[at] * (len(self.vocabulary) + 1) + ids[at + 1])
-        self.singles = np.unique(ids[first[:-1]][self.lengths == 1])
-        longer = self.lengths[self.lengths > 1]
-        self.least = int(longer.min()) if len(longer) else width + 1
 
 
 def windows_of(items: Iterator[tuple[object, str | None]], width: int, block_words: int) -> Iterator[Phrases]:
@@ -189,48 +179,34 @@ def windows_of(items: Iterator[tuple[object, str | None]], width: int, block_wor
         yield Phrases(windows, width)
 
 
-def _in(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(sorted_, x)
-    at[at == len(sorted_)] = 0
-    return at, (sorted_[at] == x) if len(sorted_) else np.zeros(len(x), bool)
-
-
-def search_shard(words: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences in a shard of documents, given as word hashes: first word, end word, and the window's number."""
-    none = np.zeros(0, np.int64)
-    if not len(words) or not len(phrases.table):
-        return none, none, none
-    at, known = _in(phrases.vocabulary, words)
-    symbol = np.where(known, at + 1, 0)
-    linked = np.zeros(len(words), bool)  # with the next word
-    both = np.flatnonzero(known[:-1] & known[1:])
-    linked[both] = _in(phrases.pairs, symbol[both] * (len(phrases.vocabulary) + 1) + symbol[both + 1])[1]
-    ends = first[1:][np.diff(first) > 0] - 1
-    linked[ends] = False
-    before = np.concatenate([[False], linked[:-1]])
-    start, stop = np.flatnonzero(~before), np.flatnonzero(~linked) + 1
-    length = stop - start
-    wanted = (length >= phrases.least) | known[start] & (_in(phrases.singles, symbol[start])[1] if len(phrases.singles) else False)
-    if len(phrases.singles):  # a word that is an item may stand anywhere
-        single = _in(phrases.singles, symbol)[1] & known
-        wanted |= np.add.reduceat(single, start) > 0
-    start, length = start[wanted], length[wanted]
-    if not len(start):
-        return none, none, none
-    # the stretches with a 0 after each
-    into = np.concatenate([[0], np.cumsum(length + 1)])
-    text = np.zeros(into[-1], np.int64)
-    where = np.arange(length.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-    text[np.arange(length.sum()) + np.repeat(np.arange(len(length)), length)] = symbol[where]
-    index = FMIndex(text, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.table, phrases.lengths)
-    n = np.maximum(high - low, 0)
-    found = np.repeat(np.arange(len(n)), n)
-    rows = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    place = index.locate(rows)
-    stretch = np.searchsorted(into, place, side="right") - 1
-    begin = start[stretch] + place - into[stretch]
-    return begin, begin + phrases.lengths[found], found
+class Shard:
+    """The FM-index of a run of documents, given as word hashes, and where each begins (one more entry than documents)."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray):
+        self.vocabulary, symbol = np.unique(words, return_inverse=True)
+        documents = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        text = np.zeros(len(words) + len(first) - 1, np.int64)
+        text[np.arange(len(words)) + documents] = symbol + 1
+        #: where documents begin in the indexed text, in which each has a 0 at its end
+        self.begin = first[:-1] + np.arange(len(first) - 1)
+        self.index = FMIndex(text, len(self.vocabulary) + 1)
+
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences: first word, end word, and the window's number."""
+        at = np.searchsorted(self.vocabulary, phrases.vocabulary)
+        at[at == len(self.vocabulary)] = 0
+        # a phrase's symbols as the shard's; 0 stands for no word, a word that the shard lacks leaves its phrases out
+        known = np.concatenate([[True], self.vocabulary[at] == phrases.vocabulary]) if len(self.vocabulary) else np.zeros(len(at) + 1, bool)
+        wanted = np.flatnonzero(known[phrases.table].all(axis=1))
+        if not len(wanted):
+            return (np.zeros(0, np.int64),) * 3
+        low, high = self.index.search(np.concatenate([[0], at + 1])[phrases.table[wanted]], phrases.lengths[wanted])
+        n = np.maximum(high - low, 0)
+        found = np.repeat(wanted, n)
+        rows = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        place = self.index.locate(rows)
+        begin = place - (np.searchsorted(self.begin, place, side="right") - 1)
+        return begin, begin + phrases.lengths[found], found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_words: int = 2_000_000, item: str = "item_id") -> DataFrame:
@@ -279,8 +255,9 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_words:
         sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for *_, f in parts)])
         first = np.concatenate([[0], np.cumsum(sizes)])
         begins, ends, hit_items = [], [], [set() for _ in range(names.num_rows)]
+        shard = Shard(words, first)
         for phrases in load():
-            begin, end, found = search_shard(words, first, phrases)
+            begin, end, found = shard.search(phrases)
             begins.append(begin)
             ends.append(end)
             for d, w in {*zip((np.searchsorted(first, begin, side="right") - 1).tolist(), found.tolist(), strict=True)}:

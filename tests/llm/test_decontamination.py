@@ -2,9 +2,11 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestone.llm import decontamination
+from lodestone.llm import decontamination, hashing
 
 
 @pytest.mark.parametrize("block_words", [2_000_000, 8])
@@ -27,3 +29,21 @@ def test_a_large_block_goes_by_the_shared_folder(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "b c")], "doc_id long, text string")
     bench = spark.createDataFrame([("q", "a b c d e f g h i")], "item_id string, text string")
     assert {r["doc_id"]: r["n_hit"] for r in decontamination.op7_query(docs, bench).collect()} == {1: 9, 2: 0}
+
+
+def test_an_index_of_the_whole_shard_can_be_asked_anything():
+    rng = np.random.default_rng(7)
+    for vocabulary in (3, 40):
+        docs = [[f"w{x}" for x in rng.integers(0, vocabulary, n)] for n in (0, 1, 60, 0, 200, 7, 0)]
+        data, offsets = hashing.flat(pa.array([" ".join(d) for d in docs]))
+        words, first = hashing.word_hashes(data, offsets, hashing.ALNUM)
+        shard = decontamination.Shard(words, first)
+        asked = [(k, " ".join(f"w{x}" for x in rng.integers(0, vocabulary + 2, n))) for k, n in enumerate(rng.integers(1, 5, 60))]
+        phrases = next(decontamination.windows_of(iter(asked), 8, 10**6))
+        begin, end, found = shard.search(phrases)
+        got = sorted((int(b), int(e), i) for b, e, f in zip(begin, end, found, strict=True) for i in phrases.items[f])
+        want = []
+        for i, t in asked:
+            w = t.split()
+            want += [(int(first[d]) + at, int(first[d]) + at + len(w), i) for d, own in enumerate(docs) for at in range(len(own) - len(w) + 1) if own[at : at + len(w)] == w]
+        assert got == sorted(want)
