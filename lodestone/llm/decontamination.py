@@ -1,6 +1,6 @@
 """Operator 7: benchmark decontamination by an FM-index per training shard.
 
-A shard is a run of documents of some megabytes, as they come from a scan; nothing is shuffled. All its words become symbols of the shard's own vocabulary, with a
+A shard is a run of documents of `SHARD_BYTES` at most, or one longer document, as they come from a scan; nothing is shuffled. All its words become symbols of the shard's own vocabulary, with a
 0 between documents; the FM-index over them has the Burrows-Wheeler transform in a wavelet tree (bit vectors with sampled rank counts) and every
 fourth suffix position, and those where documents begin. It knows nothing of the phrases, so it can be asked any. All phrases whose words the shard has are searched backwards
 at once; occurrences are located by walking to a sampled position; the spans they cover are merged for each document.
@@ -74,48 +74,73 @@ class Wavelet:
         return symbol, high - low
 
 
+def _places(n: int) -> type:
+    """The type for places in n symbols and their doubles: half the memory wherever that does."""
+    return np.int32 if n < 1 << 29 else np.int64
+
+
+def _heads(new: np.ndarray, kind: type) -> np.ndarray:
+    """For each position of a sorted run the place of the first that is equal; new: where it differs from the one before."""
+    group = np.cumsum(new, dtype=kind)
+    group -= 1
+    return np.flatnonzero(new).astype(kind)[group]
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes of text in order, by doubling; only suffixes not yet told apart are sorted again."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
+    kind = _places(n)
+    order = np.argsort(text, kind="stable").astype(kind)
+    new = np.ones(n, bool)
     sorted_ = text[order]
-    head = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-    # a rank is the place of the first of equal suffixes, so that parts can be refined in place
-    place = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[head]
-    rank[order] = place
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    del sorted_
+    # a rank is the place of the first of equal suffixes, so that parts can be refined in place; past the end there is less than any
+    place = _heads(new, kind)
+    rank = np.empty(n + 1, kind)
+    rank[order], rank[n] = place, -1
     step = 1
     while True:
-        size = np.bincount(place, minlength=n)
-        open_ = np.flatnonzero(size[place] > 1)
+        alike = place[1:] == place[:-1]
+        unsure = np.zeros(n, bool)
+        unsure[1:] = alike
+        unsure[:-1] |= alike
+        open_ = np.flatnonzero(unsure).astype(kind)
+        del alike, unsure
         if not len(open_):
             return order
         suffix = order[open_]
-        after = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
-        key = place[open_] * (n + 1) + after
+        key = place[open_].astype(np.int64)
+        key *= n + 1
+        key += rank[np.minimum(suffix + kind(step), kind(n))]
+        key += 1
         by = np.argsort(key, kind="stable")
-        order[open_] = suffix[by]
+        order[open_] = suffix = suffix[by]
         key = key[by]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        place[open_] = open_[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        rank[order[open_]] = place[open_]
+        del by
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        del key
+        place[open_] = open_[_heads(new, kind)]
+        rank[suffix] = place[open_]
         step *= 2
 
 
 class FMIndex:
     """Counts and locates words sequences in a sequence of symbols above 0; 0 parts its stretches."""
 
-    def __init__(self, text: np.ndarray, symbols: int, every: int = 4):
-        text = np.concatenate([text, [0]]).astype(np.int64)
+    def __init__(self, stretches: np.ndarray, symbols: int, every: int = 4):
+        self.n, self.every = len(stretches) + 1, every
+        text = np.zeros(self.n, _places(max(self.n, symbols)))
+        text[:-1] = stretches
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         order = suffix_order(text)
-        self.n, self.every = len(text), every
         before = text[order - 1]
-        self.wavelet = Wavelet(before, symbols)
-        counts = np.bincount(text, minlength=symbols)
-        self.below = np.concatenate([[0], np.cumsum(counts)])
         # where a stretch begins there is a sample too, so that no walk goes on through a 0
         marked = (order % every == 0) | (before == 0)
         self.marked, self.sampled = Bits(marked), order[marked]
+        del order, marked
+        self.wavelet = Wavelet(before, symbols)
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first and the end row of the suffixes that begin with each phrase. phrases: a row each, right-aligned."""
@@ -179,16 +204,31 @@ def windows_of(items: Iterator[tuple[object, str | None]], width: int, block_wor
         yield Phrases(windows, width)
 
 
+def _numbered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted vocabulary of words, and the number in it of each word, from 1."""
+    kind = _places(len(words))
+    order = np.argsort(words).astype(kind)
+    sorted_ = words[order]
+    new = np.ones(len(words), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    vocabulary = sorted_[new]
+    del sorted_
+    symbol = np.empty(len(words), kind)
+    symbol[order] = np.cumsum(new, dtype=kind)
+    return vocabulary, symbol
+
+
 class Shard:
     """The FM-index of a run of documents, given as word hashes, and where each begins (one more entry than documents)."""
 
     def __init__(self, words: np.ndarray, first: np.ndarray):
-        self.vocabulary, symbol = np.unique(words, return_inverse=True)
-        documents = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        text = np.zeros(len(words) + len(first) - 1, np.int64)
-        text[np.arange(len(words)) + documents] = symbol + 1
         #: where documents begin in the indexed text, in which each has a 0 at its end
         self.begin = first[:-1] + np.arange(len(first) - 1)
+        text = np.zeros(len(words) + len(first) - 1, _places(len(words) + len(first)))
+        inside = np.ones(len(text), bool)
+        inside[first[1:] + np.arange(len(first) - 1)] = False
+        self.vocabulary, text[inside] = _numbered(words)
+        del inside
         self.index = FMIndex(text, len(self.vocabulary) + 1)
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,18 +291,20 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_words:
         column, names = pa.chunked_array(texts), pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         data, offsets = hashing.flat(column)
         parts = [(i, *hashing.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hashing.ALNUM)) for i, j in hashing.ranges(offsets)]
-        words = np.concatenate([np.zeros(0, U), *(w for _, w, _ in parts)])
         sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for *_, f in parts)])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        begins, ends, hit_items = [], [], [set() for _ in range(names.num_rows)]
+        words = np.concatenate([np.zeros(0, U), *(w for _, w, _ in parts)])
+        del parts
+        n, begins, ends, hit_items = len(words), [], [], [set() for _ in range(names.num_rows)]
         shard = Shard(words, first)
+        del words
         for phrases in load():
             begin, end, found = shard.search(phrases)
             begins.append(begin)
             ends.append(end)
             for d, w in {*zip((np.searchsorted(first, begin, side="right") - 1).tolist(), found.tolist(), strict=True)}:
                 hit_items[d].update(phrases.items[w])
-        cover = np.zeros(len(words) + 1, np.int64)
+        cover = np.zeros(n + 1, np.int64)
         for begin, end in zip(begins, ends, strict=True):
             np.add.at(cover, begin, 1)
             np.add.at(cover, end, -1)
@@ -282,13 +324,21 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_words:
         for batch in batches:
             column = batch.column("_text").cast(pa.large_string())
             _, offsets = hashing.flat(column)
-            for i, j in hashing.ranges(offsets, SHARD_BYTES):
+            i = 0
+            while i < batch.num_rows:
+                j = int(np.searchsorted(offsets, offsets[i] + SHARD_BYTES - size, side="right")) - 1
+                if rows and (j <= i or len(rows) > 1000):
+                    yield search(rows, texts)
+                    rows, texts, size = [], [], 0
+                    continue
+                j = max(j, i + 1)
                 rows.append(batch.slice(i, j - i))
                 texts.append(column.slice(i, j - i))
                 size += int(offsets[j] - offsets[i])
-                if size >= SHARD_BYTES or len(rows) > 1000:
-                    yield search(rows, texts)
-                    rows, texts, size = [], [], 0
+                i = j
+            if rows:  # what waits for the next batch is copied, so that it doesn't keep this one
+                rows[-1] = rows[-1].take(pa.array(np.arange(rows[-1].num_rows)))
+                texts[-1] = rows[-1].column("_text").cast(pa.large_string())
         if rows:
             yield search(rows, texts)
 

@@ -74,7 +74,11 @@ def _hash_piece(data: np.ndarray, breaks: np.ndarray, keep: np.ndarray) -> tuple
         powers = np.full(int(lengths.max()), _BASE, U)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=U)
-        value = _BYTE[kept] * powers[np.arange(len(kept)) - np.repeat(begin, lengths)]
+        at = np.arange(len(kept))
+        at -= np.repeat(begin, lengths)
+        value = powers[at]
+        del at
+        value *= _BYTE[kept]
         return mix(np.add.reduceat(value, begin) + lengths.astype(U)), starts
 
 

@@ -1,6 +1,9 @@
 """Ids of benchmark items: none, texts, repeated; blocks in the shared folder."""
 
 import hashlib
+import json
+import tracemalloc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +50,37 @@ def test_an_index_of_the_whole_shard_can_be_asked_anything():
             w = t.split()
             want += [(int(first[d]) + at, int(first[d]) + at + len(w), i) for d, own in enumerate(docs) for at in range(len(own) - len(w) + 1) if own[at : at + len(w)] == w]
         assert got == sorted(want)
+
+
+def test_shards_are_no_larger_than_they_say(spark, monkeypatch, tmp_path):
+    real = decontamination.Shard
+
+    class Told(real):
+        def __init__(self, words, first):
+            with open(tmp_path / uuid.uuid4().hex, "w") as f:
+                json.dump(np.diff(first).tolist(), f)
+            super().__init__(words, first)
+
+    monkeypatch.setattr(decontamination, "Shard", Told)
+    monkeypatch.setattr(decontamination, "SHARD_BYTES", 100)
+    texts = ["a b c " * n for n in (12, 0, 3, 3, 40, 5, 5, 5, 1, 0)] * 3
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("q", "c a b c a b c a"), ("r", "b c b")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.op7_query(docs, bench).collect()}
+    assert got == {k: (3 * (n := len(t) // 6), 3 * n - 4 if n >= 4 else 0) for k, t in enumerate(texts)}
+    shards = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert sorted(x for s in shards for x in s) == sorted(3 * (len(t) // 6) for t in texts)
+    assert all(2 * sum(s) <= 100 or sum(x > 0 for x in s) == 1 for s in shards)
+
+
+def test_an_index_is_built_within_memory_for_its_words():
+    words = hashing.mix(np.random.default_rng(1).zipf(1.3, 200_000).astype(np.uint64))
+    first = np.arange(0, 200_001, 400)
+    decontamination.Shard(words[:400], first[:2])
+    tracemalloc.start()
+    try:
+        shard = decontamination.Shard(words, first)
+        built, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert shard.index.n == 200_501 and most < 80 * len(words) and built < 16 * len(words)
