@@ -31,3 +31,9 @@ def test_workers_of_frontmatter_edits_hold_heads(spark):
     assert after["mark.md"] == f"﻿---\r\nk: 2\r\n---\r\n{BODY}"
     assert after["bare.md"] == f"﻿---\r\nk: 2\r\n---\r\n{BODY}"
     assert [after[p] for p in ("open.md", "only.md", "none.md", "other.txt")] == [None] * 4
+
+
+def test_workers_of_frontmatter_deletions_hold_heads(spark):
+    done = frontmatter.delete_frontmatter(files(spark), "k")
+    assert given(done) and all("each(_head" in x and "each(content" not in x for x in given(done))
+    assert {r.path: r.after for r in done.collect() if r.after is not None} == {"mark.md": f"﻿---\r\n---\r\n{BODY}"}
