@@ -37,3 +37,13 @@ def test_workers_of_frontmatter_deletions_hold_heads(spark):
     done = frontmatter.delete_frontmatter(files(spark), "k")
     assert given(done) and all("each(_head" in x and "each(content" not in x for x in given(done))
     assert {r.path: r.after for r in done.collect() if r.after is not None} == {"mark.md": f"﻿---\r\n---\r\n{BODY}"}
+
+
+def test_workers_that_read_frontmatter_hold_heads(spark):
+    read = frontmatter.read_frontmatter(files(spark))
+    assert given(read) and all("regexp_extract" in x for x in given(read))
+    got = {r.path: (r.has_frontmatter, r.f, r.error is not None) for r in read.withColumn("f", F.col("frontmatter").cast("string")).collect()}
+    assert got == {
+        "plain.md": (False, "{}", False), "block.md": (True, '{"tags":["a","b"]}', False), "mark.md": (True, '{"k":1}', False), "bare.md": (False, "{}", False),
+        "open.md": (None, None, True), "only.md": (None, None, True), "none.md": (False, "{}", False),
+    }
