@@ -27,11 +27,15 @@ SCHEMAS = {
 }
 
 
+def _values(docs: DataFrame, fields: list[str] | None) -> dict[str, Column]:
+    """Each field as text; lists are joined by line ends."""
+    kinds = dict(docs.dtypes)
+    return {f: F.array_join(f, "\n") if kinds[f].startswith("array") else F.col(f) for f in fields or BOOSTS}
+
+
 def field_texts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(path, field, value): a row for each field; lists are joined by line ends."""
-    kinds = dict(docs.dtypes)
-    value = {f: F.array_join(f, "\n") if kinds[f].startswith("array") else F.col(f) for f in fields or BOOSTS}
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in value.items()])
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in _values(docs, fields).items()])
     return docs.select("path", F.explode(cells).alias("c")).select("path", "c.field", "c.value")
 
 
@@ -57,6 +61,33 @@ def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return each.select("path", "field", "c.token", "c.tf", "len")
 
 
+def matches(docs: DataFrame, tokens: list[str], fields: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, cells) and the columns to keep: of each field its number of tokens and those of the given ones it has, repeats and all.
+
+    This is all that a search for these tokens needs of the texts, so they are gone through once; see `matched_postings` and `matched_stats`.
+    """
+
+    def cell(field: str, value: Column) -> Column:
+        own = lambda found: F.struct(F.lit(field).alias("field"), F.size(found).cast("long").alias("len"), F.filter(found, lambda x: x.isin(tokens)).alias("hits"))
+        return let(F.regexp_extract_all(F.lower(value), F.lit(TOKEN), 0), own)
+
+    cells = [cell(f, v) for f, v in _values(docs, fields).items()]
+    return docs.select("path", *keep, F.array(*cells).alias("cells"))
+
+
+def matched_postings(matched: DataFrame) -> DataFrame:
+    """`postings` of the tokens that `matches` was given."""
+    each = matched.select("path", F.explode("cells").alias("c")).where(F.size("c.hits") > 0)
+    each = each.select("path", "c.field", "c.len", F.explode(counted(F.col("c.hits"))).alias("t"))
+    return each.select("path", "field", "t.token", "t.tf", "len")
+
+
+def matched_stats(matched: DataFrame) -> DataFrame:
+    """`field_stats` of what `matches` went through."""
+    lengths = matched.select(F.explode("cells").alias("c")).select("c.field", "c.len")
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
 def field_stats(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(field, n, avg_len): over all notes, those with an empty field too."""
     lengths = field_texts(docs, fields).select("field", F.regexp_count(F.lower("value"), F.lit(TOKEN)).alias("len"))

@@ -128,8 +128,9 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(fields: tuple[str, ...], limit: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = docs_kept(spark, sf_dir) if len(fields) > 1 else stored(docs(spark, sf_dir).select("path", *fields), "fields")
-        scored = bm25(index.postings(own, list(fields)), index.field_stats(own, list(fields)), checked(SEARCH).tokens, fields)
+        tokens = checked(SEARCH).tokens
+        own = stored(index.matches(docs(spark, sf_dir), tokens, list(fields)), "matches")
+        scored = bm25(index.matched_postings(own), index.matched_stats(own), tokens, fields)
         return scored.orderBy(F.desc("score"), "path").limit(limit)
 
     return run

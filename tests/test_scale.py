@@ -3,7 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import frontmatter
+from lodestone.functions.markdown import parse_notes
+from lodestone.operators import frontmatter, index
+from lodestone.operators import search as searching
+from lodestone.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 BODY = "a line of the body\r\n" * 3
 TEXTS = {
@@ -47,3 +52,39 @@ def test_workers_that_read_frontmatter_hold_heads(spark):
         "plain.md": (False, "{}", False), "block.md": (True, '{"tags":["a","b"]}', False), "mark.md": (True, '{"k":1}', False), "bare.md": (False, "{}", False),
         "open.md": (None, None, True), "only.md": (None, None, True), "none.md": (False, "{}", False),
     }
+
+
+NOTES = {"a/alpha.md": "---\ntags: [Alpha, en]\n---\n# Alpha checklist\n\nalpha, ALPHA and en; en-en\n", "a/b.md": "# Checklists\nnothing of it\n", "c.md": "", "d.md": "é alpha\nen"}
+TOKENS = ["alpha", "checklist", "en"]
+
+
+def parsed(spark):
+    return parse_notes(spark.createDataFrame(list(NOTES.items()), "path string, content string"))
+
+
+def rows(df):
+    return sorted(map(tuple, df.select("path", "field", "token", "tf", "len").collect()))
+
+
+@pytest.mark.parametrize("fields", [None, ["body"]])
+def test_matches_give_the_postings_of_their_tokens(spark, fields):
+    matched = index.matches(parsed(spark), TOKENS, fields)
+    assert rows(index.matched_postings(matched)) == rows(index.postings(parsed(spark), fields).where(F.col("token").isin(TOKENS)))
+    assert rows(index.matched_postings(index.matches(parsed(spark), [], fields))) == []
+    assert sorted(map(tuple, index.matched_stats(matched).collect())) == sorted(map(tuple, index.field_stats(parsed(spark), fields).collect()))
+
+
+def only_matches(monkeypatch):
+    """Postings of all tokens, and a second walk through the texts for their lengths, fail."""
+
+    def no(*_):
+        raise AssertionError("all postings")
+
+    for module in (index, searching):
+        for name in ("postings", "field_stats"):
+            monkeypatch.setattr(module, name, no, raising=False)
+
+
+def test_bm25_counts_the_tokens_asked_for(spark, monkeypatch):
+    only_matches(monkeypatch)
+    assert QUERIES["bm25_fielded"](spark, SF).count() == 50
