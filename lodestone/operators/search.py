@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from lodestone.errors import UsageError, positive
 from lodestone.functions.markdown import closing_line
 from lodestone.functions.text import folders, identity, identity_of, lines_of, stem, trim, walk_key, within
-from lodestone.operators.index import BOOSTS, field_stats, postings
+from lodestone.operators.index import BOOSTS, field_stats, matched_postings, matched_stats, matches
+from lodestone.sources.folders import stored
 
 #: Fixed values of the ranking.
 POOL_TIMES, POOL_LEAST = 10, 50
@@ -167,7 +168,8 @@ def snippets(content: Column | str, terms: list[str]) -> Column:
 def search(docs: DataFrame, query: str | None = None, path: str | None = None, tags: list[str] | None = None, fields: list[str] | None = None, limit: int = 10, post: DataFrame | None = None, stats: DataFrame | None = None, folder: bool = True, prefilter: bool = False, explain: bool = False) -> DataFrame:
     """(path, title, tags, snippets) of the best notes, in order.
 
-    docs: parsed notes with content. post and stats: their postings and field statistics, best from a persisted index; else they are made here.
+    docs: parsed notes with content. post and stats: their postings and field statistics, best from a persisted index. Without postings the notes are gone through once, at the call, and what
+    the query needs of them, without their texts, is written to the work folder; for the winners' texts docs is read again.
     With tags alone all notes with them count, by path. explain adds position, bucket, base_rank, score and rrf.
     """
     q = checked(query, tags, fields, limit)
@@ -177,10 +179,12 @@ def search(docs: DataFrame, query: str | None = None, path: str | None = None, t
         best = docs.select("path", "title", "tags").where(keep).orderBy(walk_key("path")).limit(q.limit)
         order = [walk_key("path")]
     else:
-        post = postings(docs, list(q.fields)) if post is None else post
-        stats = field_stats(docs, list(q.fields)) if stats is None else stats
-        scored = bm25(post, stats, q.tokens, q.fields)
         meta = docs.select("path", "title", "aliases", "tags", "headings")
+        if post is None:
+            meta = stored(matches(docs, q.tokens, list(q.fields), ("title", "aliases", "tags", "headings")), "matches")
+            post, stats = matched_postings(meta), matched_stats(meta) if stats is None else stats
+            meta = meta.drop("cells")
+        scored = bm25(post, field_stats(docs, list(q.fields)) if stats is None else stats, q.tokens, q.fields)
         if prefilter:
             scored = scored.join(meta.where(keep).select("path"), "path", "left_semi")
         pool = scored.orderBy(F.desc("score"), "path").limit(q.pool)

@@ -153,7 +153,7 @@ def _found(found: DataFrame) -> DataFrame:
 
 
 def _search(**how: object) -> Query:
-    return lambda spark, sf_dir: _found(search(docs_kept(spark, sf_dir), SEARCH, explain=True, **how))
+    return lambda spark, sf_dir: _found(search(docs(spark, sf_dir), SEARCH, explain=True, **how))
 
 
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:

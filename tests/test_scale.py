@@ -88,3 +88,8 @@ def only_matches(monkeypatch):
 def test_bm25_counts_the_tokens_asked_for(spark, monkeypatch):
     only_matches(monkeypatch)
     assert QUERIES["bm25_fielded"](spark, SF).count() == 50
+
+
+def test_search_counts_the_tokens_asked_for(spark, monkeypatch):
+    only_matches(monkeypatch)
+    assert QUERIES["search_rrf"](spark, SF).count() == 10
