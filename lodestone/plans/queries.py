@@ -233,7 +233,7 @@ def rendered_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_search(search(docs_kept(spark, sf_dir), SEARCH, explain=True), "json")
+    return render_search(search(docs(spark, sf_dir), SEARCH, explain=True), "json")
 
 
 def rendered_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,9 @@ def test_bm25_counts_the_tokens_asked_for(spark, monkeypatch):
 def test_search_counts_the_tokens_asked_for(spark, monkeypatch):
     only_matches(monkeypatch)
     assert QUERIES["search_rrf"](spark, SF).count() == 10
+
+
+def test_rendered_search_writes_no_texts(spark, monkeypatch):
+    only_matches(monkeypatch)
+    monkeypatch.setattr("lodestone.plans.queries.docs_kept", None)
+    assert QUERIES["render_search"](spark, SF).count() == 10
