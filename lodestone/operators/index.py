@@ -15,10 +15,10 @@ from lodestone.functions.text import let
 
 #: Fields, and how much a hit in each weighs in the full-text score (fixed values).
 BOOSTS = {"title": 8.0, "tags": 7.0, "aliases": 6.0, "headings": 4.0, "path": 2.0, "body": 1.0}
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"[a-z0-9\p{L}\p{N}]+"  # a-z and 0-9 are tried first, by a table; they are letters and digits anyway
 VERSION = 2
-#: The end of a marker file's name, and changed paths that are broadcast.
-MARK, FEW = ".whole", 200_000
+#: The end of a marker file's name, changed paths that are broadcast, and bytes of a row group of postings.
+MARK, FEW, ROW_GROUP = ".whole", 200_000, 16 << 20
 #: Of the stored tables, so that empty ones can be read.
 SCHEMAS = {
     "docs": "path string, title string, aliases array<string>, tags array<string>, headings array<string>, body string, content string",
@@ -39,16 +39,15 @@ def field_texts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return docs.select("path", F.explode(cells).alias("c")).select("path", "c.field", "c.value")
 
 
-def counted(tokens: Column) -> Column:
-    """(token, tf) of each different token, from an array of tokens: sorted, and cut where they change, within the row."""
+def _counted(rows: DataFrame, tokens: Column) -> DataFrame:
+    """(path, field, token, tf, len): a row for each different one of a row's tokens.
 
-    def runs(s: Column, starts: Column) -> Column:
-        return F.transform(starts, lambda at, k: F.struct(F.get(s, at).alias("token"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("long").alias("tf")))
-
-    def starts(s: Column) -> Column:
-        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-
-    return let(F.sort_array(tokens), lambda s: let(starts(s), lambda at: runs(s, at)))
+    The tokens are sorted and joined, and one pattern takes each with its repeats, `a a a`, so that no function is called token by token. It is possessive: repeats take no stack.
+    """
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(tokens), " "), F.lit(r"([^ ]++)(?: \1(?= |\z))*+"), 0)
+    each = rows.select("path", "field", "len", F.explode(runs).alias("run")).select("path", "field", F.substring_index("run", " ", 1).alias("token"), "run", "len")
+    tf = F.floor((F.octet_length("run") + 1) / (F.octet_length("token") + 1)).cast("long")
+    return each.select("path", "field", "token", tf.alias("tf"), "len")
 
 
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -57,8 +56,7 @@ def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     A field's tokens are counted within its row, so nothing is shuffled. A path has one row in docs.
     """
     tokens = field_texts(docs, fields).select("path", "field", F.regexp_extract_all(F.lower("value"), F.lit(TOKEN), 0).alias("tokens"))
-    each = tokens.select("path", "field", F.size("tokens").cast("long").alias("len"), F.explode(counted(F.col("tokens"))).alias("c"))
-    return each.select("path", "field", "c.token", "c.tf", "len")
+    return _counted(tokens.select("path", "field", F.size("tokens").cast("long").alias("len"), "tokens"), F.col("tokens"))
 
 
 def matches(docs: DataFrame, tokens: list[str], fields: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,8 +76,7 @@ def matches(docs: DataFrame, tokens: list[str], fields: list[str] | None = None,
 def matched_postings(matched: DataFrame) -> DataFrame:
     """`postings` of the tokens that `matches` was given."""
     each = matched.select("path", F.explode("cells").alias("c")).where(F.size("c.hits") > 0)
-    each = each.select("path", "c.field", "c.len", F.explode(counted(F.col("c.hits"))).alias("t"))
-    return each.select("path", "field", "t.token", "t.tf", "len")
+    return _counted(each.select("path", "c.field", "c.len", "c.hits"), F.col("hits"))
 
 
 def matched_stats(matched: DataFrame) -> DataFrame:
@@ -126,7 +123,7 @@ COMMITS, REPLACED = 16, 0.3
 class Index:
     """An index as commits below a folder: a base, and what changed since.
 
-    A commit has docs (by path), postings (by field and token, so that a search reads few row groups), sums of field lengths, the manifest's new rows and `gone`, the paths of earlier commits
+    A commit has docs (by path), postings (each file by token and field, so that a search reads few row groups of each), sums of field lengths, the manifest's new rows and `gone`, the paths of earlier commits
     that it replaces or deletes. It counts once its marker file is there, which is made last and at once; a reader takes the last base with a marker and the marked commits after it, so it
     never sees half of one. Commits that the newest base has made useless go with the next base but one.
     """
@@ -151,22 +148,28 @@ class Index:
 
     def build(self, files: DataFrame) -> None:
         """files: (path, mtime_ms, size, content as text; null if unreadable)."""
-        self._commit("base", parse_notes(files), manifest(files), None)
+        self._commit("base", None, files, manifest(files), None)
 
-    def _commit(self, kind: str, notes: DataFrame, files: DataFrame, gone: DataFrame | None) -> None:
+    def _commit(self, kind: str, notes: DataFrame | None, files: DataFrame | None, listed: DataFrame, gone: DataFrame | None) -> None:
+        """notes: parsed ones; files: those to be parsed; listed: the manifest's rows.
+
+        Files are dealt to ranges of paths before they are parsed, since the ranges are found by going through the rows once more. Postings stay in their notes' partition: nothing is shuffled.
+        """
         store, path = self._store()
         name = f"v{VERSION}-{time.time_ns():020d}-{kind}"
         at = f"{self.where}/{name}"
-        notes.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{at}/docs")
+        by_path = lambda rows: rows.repartitionByRange("path").sortWithinPartitions("path")
+        for part in ([] if notes is None else [by_path(notes)]) + ([] if files is None else [parse_notes(by_path(files.select("path", "content")))]):
+            part.write.mode("append").parquet(f"{at}/docs")
         own = self.spark.read.schema(SCHEMAS["docs"]).parquet(f"{at}/docs")
-        postings(own).repartitionByRange("field", "token").sortWithinPartitions("field", "token", "path").write.partitionBy("field").parquet(f"{at}/postings")
-        sums = _field_sums(own)
+        postings(own).sortWithinPartitions("token", "field").write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/postings")
+        sums = self._sums(at)
         if gone is not None:
             gone.write.parquet(f"{at}/gone")
             old = self.table("docs").join(self.spark.read.schema("path string").parquet(f"{at}/gone"), "path", "left_semi")
             sums = sums.unionByName(_field_sums(old).select("field", (-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens")))
         sums.coalesce(1).write.parquet(f"{at}/sums")
-        files.write.parquet(f"{at}/manifest")
+        listed.write.parquet(f"{at}/manifest")
         before = self.commits()
         store.create(path(f"{at}{MARK}"), False).close()
         if kind == "base":
@@ -175,6 +178,13 @@ class Index:
                 if bare < (before[0] if before else name) and bare.startswith("v"):  # readers may still have the base before this one open
                     store.delete(path(f"{self.where}/{old_name}"), True)
 
+    def _sums(self, at: str) -> DataFrame:
+        """(field, n, tokens) of a commit, from what is written of it."""
+        read = lambda part: self.spark.read.schema(SCHEMAS[part]).parquet(f"{at}/{part}")
+        n, tokens = read("docs").count(), {r["field"]: r["n"] for r in read("postings").groupBy("field").agg(F.sum("tf").alias("n")).collect()}
+        rows = ", ".join(f"('{f}', {n}L, {tokens.get(f, 0)}L)" for f in BOOSTS)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(field, n, tokens) WHERE n > 0")
+
     def table(self, name: str) -> DataFrame:
         """docs, postings, stats or manifest as they are now."""
         commits = self.commits()
@@ -217,10 +227,15 @@ class Index:
             new = changes.where(F.col("change") != "deleted").select("path")
             if counts.get("added", 0) + counts.get("changed", 0) <= FEW:
                 new = F.broadcast(new)
-            parsed = parse_notes(files.join(new, "path", "left_semi"))
             gone = changes.where(F.col("change") != "added").select("path")
-            self._commit("more", parsed, now.join(new, "path", "left_semi"), gone)
-            if len(self.commits()) > COMMITS or sum(counts.values()) > REPLACED * max(1, self.table("manifest").count()):
+            fresh, listed = files.join(new, "path", "left_semi"), now.join(new, "path", "left_semi")
+            paths = self.table("manifest").count() + counts.get("added", 0) - counts.get("deleted", 0)
+            if sum(counts.values()) > REPLACED * max(1, paths):  # one base at once, instead of a commit that is merged into one
+                kept = lambda rows: rows.join(gone, "path", "left_anti")
+                self._commit("base", kept(self.table("docs")), fresh, kept(self.table("manifest")).unionByName(listed), None)
+                return "merged"
+            self._commit("more", None, fresh, listed, gone)
+            if len(self.commits()) > COMMITS:
                 self.compact()
             return "merged"
         finally:
@@ -228,7 +243,7 @@ class Index:
 
     def compact(self) -> None:
         """One base of what the commits say."""
-        self._commit("base", self.table("docs"), self.table("manifest"), None)
+        self._commit("base", self.table("docs"), None, self.table("manifest"), None)
 
     def search(self, query: str | None = None, **how: object) -> DataFrame:
         """`search` over the stored tables. The pool's paths, max(10 * limit, 50) at most, come to the driver, so that of docs, which are sorted by path, few row groups are read."""

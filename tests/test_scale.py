@@ -1,5 +1,7 @@
 """What must not grow with the tables: what workers hold, and work that is done again."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,43 @@ def test_rendered_search_writes_no_texts(spark, monkeypatch):
     only_matches(monkeypatch)
     monkeypatch.setattr("lodestone.plans.queries.docs_kept", None)
     assert QUERIES["render_search"](spark, SF).count() == 10
+
+
+def test_repeats_of_a_token_take_no_stack(spark):
+    text = "the a ab the " + "the " * 300_000 + "x" * 300_000 + " Éa éa"
+    docs = spark.createDataFrame([("a.md", text)], "path string, body string")
+    got = {r.token: (r.tf, r.len) for r in index.postings(docs, ["body"]).collect()}
+    assert got == {"the": (300_002, 300_007), "a": (1, 300_007), "ab": (1, 300_007), "éa": (2, 300_007), "x" * 300_000: (1, 300_007)}
+    assert not index.postings(docs.selectExpr("path", "'' AS body"), ["body"]).count()
+
+
+STATES = [("n%03d.md" % k, 1.0, 1, f"# Note {k}\ncommon words and number{k}\n") for k in range(60)]
+
+
+def test_an_index_that_changed_much_is_written_once(spark, tmp_path, monkeypatch):
+    table = lambda rows: spark.createDataFrame(rows, "path string, mtime_ms double, size long, content string")
+    own = index.Index(spark, f"file://{tmp_path}/index")
+    own.build(table(STATES))
+    kinds, commit = [], index.Index._commit
+    monkeypatch.setattr(index.Index, "_commit", lambda self, kind, *rest: kinds.append(kind) or commit(self, kind, *rest))
+    later = [(p, 2.0, 2, f"{text}number5 again\n") for p, _, _, text in STATES[10:40]] + STATES[45:] + [("new.md", 1.0, 1, "number5\n"), ("null.md", 1.0, None, None)]
+    assert own.refresh(table(later)) == "merged" and kinds == ["base"]
+    assert sorted(r.path for r in own.table("manifest").collect()) == sorted(r[0] for r in later)
+    want = searching.search(parse_notes(table(later)), "number5 common", explain=True, limit=20).collect()
+    assert want and own.search("number5 common", explain=True, limit=20).collect() == want
+    assert own.refresh(table(later)) == "fresh"
+
+
+def test_postings_are_written_where_their_notes_are(spark, tmp_path):
+    own = index.Index(spark, f"file://{tmp_path}/index")
+    plans, write = [], index.postings
+    index.postings = lambda docs, *rest: plans.append(write(docs, *rest)) or plans[-1]
+    try:
+        own.build(spark.createDataFrame(STATES, "path string, mtime_ms double, size long, content string"))
+    finally:
+        index.postings = write
+    files = [f"{tmp_path}/index/{own.commits()[0]}/postings/{n}" for n in os.listdir(f"{tmp_path}/index/{own.commits()[0]}/postings") if n.endswith(".parquet")]
+    assert len(plans) == 1 and files
+    for f in files:
+        keys = [(r.token, r.field) for r in spark.read.parquet(f"file://{f}").coalesce(1).collect()]
+        assert keys == sorted(keys)
